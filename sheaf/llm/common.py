@@ -37,3 +37,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Long texts: hand Python so few rows at once that a batch stays small; a smaller setting is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
