@@ -135,6 +135,8 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, neig
     """Fill the fuller of the underfull bins from the emptier ones until no change raises the sum of squared fills."""
     fill = [int(lengths[b].sum()) for b in bins]
     for _ in range(rounds):
+        if sum(f > 0 for f in fill) <= -(-sum(fill) // capacity):  # no bin can be saved any more
+            break
         order = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: -fill[k])
         changed = False
         for at, k in enumerate(order):
