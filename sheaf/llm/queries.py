@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licences, packing, pii, quality, url_rules
+from . import licences, packing, pii, quality, suffixes, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.op1_url_filter,
     "op3_pii": pii.op3_pii,
     "op4_license_scan": licences.op4_license_scan,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
