@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, packing, pii, quality, suffixes, url_rules
+from . import debruijn, licences, packing, pii, quality, suffixes, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_substring_dedup": debruijn.op10_substring_dedup,
 }
 
 ORACLES = {
