@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import debruijn, licences, packing, pii, quality, suffixes, url_rules
+from . import debruijn, licences, packing, pii, quality, sketches, suffixes, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_license_scan": licences.op4_license_scan,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
+    "op7_minhash_near_dedup": sketches.op7_minhash_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_substring_dedup": debruijn.op10_substring_dedup,
 }
