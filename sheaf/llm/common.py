@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,5 +58,7 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let the cleaner find the shuffle files of finished jobs now instead of at the driver's next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of the plans, the second of their shuffles
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)

@@ -280,21 +280,28 @@ def covered(docs: DataFrame, scheme: Scheme, resolve: Callable[[DataFrame], Data
     contexts = stored(rows.select("rk", "text").join(wanted, "rk").select("text", "wanted").mapInArrow(_contexts(scheme), CONTEXT), "contexts")
     release(spark)
 
-    bins = stored(contexts.select("a", "c", "n", "left", "ctx").mapInArrow(_bins(scheme), "a long, c long, n long, bin int, ik long, uk long, low int, high int"), "bins")
-    whole = bins.groupBy("a", "bin", "ik", "uk").agg(F.sum("n").alias("nu"), F.min("c").alias("c"), F.min("low").alias("low"), F.min("high").alias("high"))
-    whole = stored(whole, "wholes")
-    all_twice = bins.join(whole.where("nu >= 2").select("a", "bin", "ik", "uk"), ["a", "bin", "ik", "uk"], "left_semi").select("a", "c", "low", "high")
-    groups = whole.groupBy("a", "bin", "ik").agg(F.count(F.lit(1)).alias("members")).where("members >= 2")
-    unclear = whole.join(groups, ["a", "bin", "ik"]).join(contexts.select("a", "c", "left", "ctx"), ["a", "c"])
+    key = ["a", "bin", "ik"]
+    bins = contexts.select("a", "c", "n", "left", "ctx").mapInArrow(_bins(scheme), "a long, c long, n long, bin int, ik long, uk long, low int, high int")
+    again = bins.groupBy(*key).agg(F.sum("n").alias("total")).where("total >= 2").select(*key)
+    bins = stored(bins.join(again, key, "left_semi"), "bins")
+    release(spark)
+    whole = bins.groupBy(*key, "uk").agg(F.sum("n").alias("nu"), F.min("c").alias("c"), F.min("low").alias("low"), F.min("high").alias("high"))
+    members = whole.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members >= 2")
+    unclear = whole.join(members, key).join(contexts.select("a", "c", "left", "ctx"), ["a", "c"])
     resolved = stored(resolve(unclear).select("a", "c", "low", "high"), "resolved")
     release(spark)
 
+    all_twice = bins.join(whole.where("nu >= 2").select(*key, "uk"), [*key, "uk"], "left_semi").select("a", "c", "low", "high")
     stretches = all_twice.unionByName(resolved).groupBy("a", "c").agg(F.collect_set(F.struct("low", "high")).alias("own"))
     everywhere = F.array(F.struct(F.lit(1 - scheme.span).alias("low"), F.lit(scheme.width).alias("high")))
+    twice = contexts.where("n >= 2").select("a", "c", everywhere.alias("own")).distinct()
+    partly = stretches.join(contexts.where("n = 1").select("a", "c"), ["a", "c"])
+    marks = stored(twice.unionByName(partly), "marks")
+    for table in (contexts, bins, resolved):
+        discard(table)
+    release(spark)
     full = found.where("pure").select("rk", "pos", everywhere.alias("own"))
-    twice = mixed.where("n >= 2").select("a", "c", everywhere.alias("own"))
-    partly = stretches.join(mixed.where("n = 1").select("a", "c"), ["a", "c"])
-    marked = found.where("not pure").join(twice.unionByName(partly), ["a", "c"]).select("rk", "pos", "own")
+    marked = found.where("not pure").join(marks, ["a", "c"]).select("rk", "pos", "own")
     spans = full.unionByName(marked).groupBy("rk").agg(F.collect_list(F.struct("pos", "own")).alias("marks"))
     return rows, spans
 

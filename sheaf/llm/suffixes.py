@@ -57,13 +57,15 @@ def maximal_extents(group: np.ndarray, left: np.ndarray, right: np.ndarray, need
     lcp[1:] = np.where(g[1:] == g[:-1], _common(r[:-1], r[1:]), -1)
     flat = np.ascontiguousarray(left).view(f"S{left.shape[1]}").ravel()
     out: list[tuple[int, int, int]] = []
+    told = np.full(len(order), -1)  # inner intervals come first: outer ones count only if they reach further left
     for depth, first, last in lcp_intervals(lcp):
         own = order[first : last + 1]
         own = own[np.argsort(flat[own], kind="stable")]
         near = _common(left[own[:-1]], left[own[1:]])
         most = np.maximum(np.append(near, 0), np.insert(near, 0, 0))  # the longest left extension that another shares
-        for k in np.flatnonzero(most + depth >= need).tolist():
-            out.append((int(own[k]), int(most[k]), depth))
+        new = np.flatnonzero((most + depth >= need) & (most > told[own]))
+        told[own[new]] = most[new]
+        out += zip(own[new].tolist(), most[new].tolist(), [depth] * len(new), strict=True)
     return out
 
 
