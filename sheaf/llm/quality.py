@@ -138,12 +138,32 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
+def trained(table: DataFrame, labels: DataFrame) -> Discriminant | None:
+    """From a table of features and the labels of rows that are not held out."""
+    marks = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
+    return fit(table.where(~held_out()).join(marks, "doc_id"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold: scored where they are, without a join."""
+    small_batches(docs.sparkSession)
+    model, at = trained(features(docs), labels), docs.columns.index("text")
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([statistics(t) for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     table = stored(features(docs), "features")
-    marks = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
-    model = fit(table.where(~held_out()).join(marks, "doc_id"))
-    out = scored(table, model)
+    out = scored(table, trained(table, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import debruijn, licences, packing, pii, quality, sketches, suffixes, url_rules
+from . import debruijn, latent, licences, packing, pii, quality, sketches, suffixes, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_minhash_near_dedup": sketches.op7_minhash_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_benchmark_decontamination": latent.op9_benchmark_decontamination,
     "op10_substring_dedup": debruijn.op10_substring_dedup,
 }
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, release, small_batches, stored
@@ -216,5 +216,17 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "rk", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay when one of each class does: the smallest id (then the smaller key of
+    the text, then any of identical rows); rows without words all stay."""
+    near = stored(near_duplicates(docs), "near")
+    first = near.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rk"))).alias("m"))
+    stay = first.select(F.col("m.rk").alias("_rk"), F.lit(True).alias("_one")).unionByName(near.where("label is null").select(F.col("rk").alias("_rk"), F.lit(False).alias("_one")).distinct())
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumn("_rk", F.xxhash64(F.col("doc_id").cast("long"), text)).join(stay, "_rk")
+    place = F.row_number().over(Window.partitionBy("_rk").orderBy("_one"))
+    return rows.withColumn("_k", place).where("not _one or _k = 1").select(*docs.columns)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rk")
