@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import debruijn, latent, licences, packing, pii, quality, sketches, suffixes, url_rules
+from . import debruijn, images, latent, licences, packing, pii, quality, sketches, suffixes, url_rules
 
 QUERIES = {
     "op1_url_filter": url_rules.op1_url_filter,
+    "op2_media_copies": images.op2_media_copies,
     "op3_pii": pii.op3_pii,
     "op4_license_scan": licences.op4_license_scan,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,

@@ -271,8 +271,11 @@ def covered(docs: DataFrame, scheme: Scheme, resolve: Callable[[DataFrame], Data
     rows = keyed(docs)
     anchors = stored(anchor_table(rows, scheme), "anchors")
     again = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n >= 2")
-    found = stored(anchors.join(again.select("a", (F.col("c0") == F.col("c1")).alias("pure")), "a"), "repeated")
+    # stored, so that both sides of the join are plain exchanges and a hot key's partition can be split
+    again = stored(again.select("a", (F.col("c0") == F.col("c1")).alias("pure")), "again")
+    found = stored(anchors.join(again, "a"), "repeated")
     discard(anchors)
+    discard(again)
     release(spark)
 
     mixed = found.where("not pure").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos")).alias("at"))
@@ -282,10 +285,11 @@ def covered(docs: DataFrame, scheme: Scheme, resolve: Callable[[DataFrame], Data
 
     key = ["a", "bin", "ik"]
     bins = contexts.select("a", "c", "n", "left", "ctx").mapInArrow(_bins(scheme), "a long, c long, n long, bin int, ik long, uk long, low int, high int")
-    again = bins.groupBy(*key).agg(F.sum("n").alias("total")).where("total >= 2").select(*key)
+    again = stored(bins.groupBy(*key).agg(F.sum("n").alias("total")).where("total >= 2").select(*key), "again")
     bins = stored(bins.join(again, key, "left_semi"), "bins")
     release(spark)
     whole = bins.groupBy(*key, "uk").agg(F.sum("n").alias("nu"), F.min("c").alias("c"), F.min("low").alias("low"), F.min("high").alias("high"))
+    whole = stored(whole, "wholes")
     members = whole.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members >= 2")
     unclear = whole.join(members, key).join(contexts.select("a", "c", "left", "ctx"), ["a", "c"])
     resolved = stored(resolve(unclear).select("a", "c", "low", "high"), "resolved")
@@ -297,7 +301,7 @@ def covered(docs: DataFrame, scheme: Scheme, resolve: Callable[[DataFrame], Data
     twice = contexts.where("n >= 2").select("a", "c", everywhere.alias("own")).distinct()
     partly = stretches.join(contexts.where("n = 1").select("a", "c"), ["a", "c"])
     marks = stored(twice.unionByName(partly), "marks")
-    for table in (contexts, bins, resolved):
+    for table in (contexts, again, bins, whole, resolved):
         discard(table)
     release(spark)
     full = found.where("pure").select("rk", "pos", everywhere.alias("own"))
