@@ -4,8 +4,8 @@ A document's set of word shingles becomes REGISTERS registers, each the truncate
 of the elements' exponential hashes: exponentially spaced, mergeable by maximum, equal with a probability close to the
 Jaccard similarity. Documents with equal sets form one node. Bands of registers deal nodes to buckets. In each bucket
 every node is paired with one representative; a maximum-likelihood estimate from the counts of larger, smaller and equal
-registers discards pairs that are far off, the rest is verified on full sets, and verified links give components. Then
-all pairs of a bucket that still lie in different components are verified in the join itself, so a link between nodes
+registers discards pairs that are far off, the rest is verified on full sets, and verified links give components. This
+is repeated with other representatives for what lies apart. Then all pairs of a bucket that still lie in different components are verified in the join itself, so a link between nodes
 that share a bucket is never lost while linked copies cost one pair each; only links come out, never all pairs.
 
 A pair at similarity 0.8 shares no bucket with probability of about 3e-6 (48 bands of 6 out of 192 registers).
@@ -30,6 +30,8 @@ from .repeats import _BASE, _C1, _C3, _blocks, _U, _long, keyed, mix, texts_of,
 REGISTERS, BASE, BANDS, ROWS = 192, 1.02, 48, 6
 #: Similarity in hundredths at which two sets are linked.
 LINK = 80
+#: Rounds in which another node stands for each bucket, before the rest is compared pair by pair.
+TURNS = 2
 #: Pairs whose estimate is below are not verified: over six standard errors under 0.8.
 DISCARD = 0.6
 #: Distinct texts up to which their keys are broadcast to fetch them; beyond, texts are shuffled.
@@ -175,13 +177,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = table.where("n > 0").groupBy("node").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.any_value("registers").alias("registers"), F.any_value("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("y")).where("k > 1").select("bucket", "y")
-    members = stored(placed.join(shared, "bucket").select("bucket", F.col("node").alias("x"), "y"), "members")
+    shared = stored(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
+    members = stored(placed.join(shared, "bucket").select("bucket", F.col("node").alias("x"), "k"), "members")
     release(spark)
+    # the node that shares most buckets with others stands for a bucket: of near copies the one closest to all
+    weight = members.groupBy("x").agg(F.sum("k").alias("weight"))
+    chosen = stored(members.join(weight, "x").groupBy("bucket").agg(F.max(F.struct("weight", "x")).alias("m")).select("bucket", F.col("m.x").alias("y")), "chosen")
+    first_pairs = members.join(chosen, "bucket").where("x <> y").select("x", "y").distinct()
 
     side = nodes.select(F.col("node").alias("x"), F.col("registers").alias("rx"), F.col("n").alias("nx"))
     other = side.toDF("y", "ry", "ny")
-    sized = members.where("x <> y").select("x", "y").distinct().join(side, "x").join(other, "y").where(f"nx * 100 >= ny * {LINK} and ny * 100 >= nx * {LINK}")
+    sized = first_pairs.join(side, "x").join(other, "y").where(f"nx * 100 >= ny * {LINK} and ny * 100 >= nx * {LINK}")
     pairs = stored(sized.select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(_estimated, "x long, y long"), "pairs")
 
     wanted = members.select(F.col("x").alias("node")).distinct().join(nodes.select("node", "rk"), "node")
@@ -191,20 +197,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = stored(rows.select("rk", "text").join(wanted, "rk").select("node", "text").mapInArrow(_full_sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
     release(spark)
 
-    one, two = full.select(F.col("node").alias("x"), F.col("items").alias("ix")), full.select(F.col("node").alias("y"), F.col("items").alias("iy"))
-    links = stored(pairs.join(one, "x").join(two, "y").where(linked("ix", "iy")).select("x", "y"), "links")
-    first = stored(components(links), "components")
-
-    # Nodes that share a bucket and are still apart.
-    labels = members.select("bucket", F.col("x").alias("node")).join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    labels = stored(labels, "labels")
-    apart = labels.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-    open_ = labels.join(apart, "bucket", "left_semi").join(full, "node")
-    left, right = open_.toDF("node", "bucket", "lx", "ix").withColumnRenamed("node", "x"), open_.toDF("node", "bucket", "ly", "iy").withColumnRenamed("node", "y")
-    more = left.join(right, (left.bucket == right.bucket) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & linked("ix", "iy")).select("x", "y")
-    more = stored(more.distinct(), "more")
-    release(spark)
-    final = first if more.isEmpty() else stored(components(first.select(F.col("node").alias("x"), F.col("label").alias("y")).unionByName(more)), "components")
+    def verified(some: DataFrame) -> DataFrame:
+        one, two = full.select(F.col("node").alias("x"), F.col("items").alias("ix")), full.select(F.col("node").alias("y"), F.col("items").alias("iy"))
+        return some.join(one, "x").join(two, "y").where(linked("ix", "iy")).select("x", "y")
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """The labels after components that links connect have become one."""
+        to = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
+        joined = components(links.join(to[0], "x").join(to[1], "y").select(F.col("lx").alias("x"), F.col("ly").alias("y")))
+        return stored(labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+    labels = stored(members.select(F.col("x").alias("node"), F.col("x").alias("label")).distinct(), "labels")
+    labels = merged(labels, stored(verified(pairs), "links"))
+    for turn in range(TURNS + 1):
+        # nodes that share a bucket and are still apart
+        placed = members.select("bucket", F.col("x").alias("node")).join(labels, "node").select("bucket", "node", "label")
+        some = F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("r")
+        apart = stored(placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), some).where("a <> b").select("bucket", "r"), "apart")
+        if turn < TURNS:  # another node stands for the bucket: most of what is linked joins here, at one pair a node
+            links = verified(placed.join(apart, "bucket").where("label <> r.label").select(F.col("node").alias("x"), F.col("r.node").alias("y")).distinct())
+        else:  # the rest: every pair of different components, in whole
+            open_ = placed.join(apart.select("bucket"), "bucket", "left_semi").join(full, "node").select("bucket", "node", "label", "items")
+            left, right = open_.toDF("bucket", "x", "lx", "ix"), open_.toDF("bucket_y", "y", "ly", "iy")
+            near = (F.col("bucket") == F.col("bucket_y")) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly"))
+            links = left.join(right, near & linked("ix", "iy")).select("x", "y").distinct()
+        links = stored(links, "links")
+        release(spark)
+        if not links.isEmpty():
+            labels = merged(labels, links)
+    final = labels
     return table.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node").join(final, "node", "left").select("doc_id", "rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
 
 
