@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored
 from .repeats import _U, _blocks, texts_of, word_symbols
 
-WINDOW, SHORTEST, RANK, OVERSAMPLE = 48, 16, 32, 8
+WINDOW, SHORTEST, RANK, OVERSAMPLE = 48, 16, 16, 8
 #: Cosine of candidates; shares of the item's words in the common subsequence for a copy and for a paraphrase; share
 #: of the answer words that a paraphrase must have; words of an answer; items too short for a paraphrase.
-CANDIDATE, COPY, PARAPHRASE, ANSWER, ANSWER_WORDS, SHORT = 0.4, 0.75, 0.5, 0.8, 8, 8
+CANDIDATE, COPY, PARAPHRASE, ANSWER, ANSWER_WORDS, SHORT = 0.2, 0.75, 0.5, 0.8, 8, 8
 BLOCK_ITEMS = 5_000
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[65:91] += 32
@@ -57,19 +57,42 @@ class Items:
         return cls(np.array([ids[k] for k in kept], dtype=np.int64), [numbers[places[k] : places[k + 1]].astype(np.int32) + 1 for k in kept], vocabulary)
 
 
+def _numbering(vocabulary: np.ndarray):
+    """From hashes to word numbers: one look into a direct table, a binary search only where two words share its slot."""
+    bits = max(16, int(len(vocabulary)).bit_length() + 6)
+    slot = (vocabulary >> _U(64 - bits)).astype(np.int64)
+    first = np.zeros(1 << bits, np.int32)
+    first[slot[::-1]] = np.arange(len(vocabulary), 0, -1, dtype=np.int32)
+    crowded = np.zeros(1 << bits, bool)
+    values, counts = np.unique(slot, return_counts=True)
+    crowded[values[counts > 1]] = True
+    top = np.concatenate([np.zeros(1, _U), vocabulary])
+
+    def number(hashes: np.ndarray) -> np.ndarray:
+        own = (hashes >> _U(64 - bits)).astype(np.int64)
+        found = first[own]
+        found[top[found] != hashes] = 0
+        rest = np.flatnonzero(crowded[own] & (found == 0))
+        if len(rest):
+            at = np.minimum(np.searchsorted(vocabulary, hashes[rest]), len(vocabulary) - 1)
+            found[rest] = np.where(vocabulary[at] == hashes[rest], at + 1, 0)
+        return found
+
+    return number
+
+
 def numbered(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     """doc_id and the word numbers of every document, as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.append(vocabulary, _U(0xFFFFFFFFFFFFFFFF))
+        number = _numbering(vocabulary)
         for batch in batches:
             raw, bounds = texts_of(batch.column(1))
             out: list[bytes] = []
             for low, high in _blocks(bounds):
                 own = bounds[low : high + 1]
                 hashes, places = word_hashes(raw[own[0] : own[-1]], own - own[0])
-                at = np.searchsorted(vocabulary, hashes)
-                numbers = np.where(top[at] == hashes, at + 1, 0).astype(np.int32)
+                numbers = number(hashes)
                 out += [numbers[s:e].tobytes() for s, e in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "words"])
 
@@ -90,10 +113,21 @@ def passage_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
         for batch in batches:
             words, bounds = _sequences(batch)
             passage, n = _passages(bounds)
-            pairs = np.unique(passage * (size + 1) + words) if len(words) else np.zeros(0, np.int64)
-            own = pairs % (size + 1)
-            counts += np.bincount(own, minlength=size + 1)
-            counts[0] += n - np.count_nonzero(own == 0)  # 0 counts all passages
+            known = np.flatnonzero(words > 0)
+            pairs = passage[known] * (size + 1) + words[known]
+            for at in range(0, len(pairs), 1 << 16):  # sorted runs stay in the cache; a passage cut in two is put right
+                part = pairs[at : at + (1 << 16)]
+                base = int(part[0]) // (size + 1) * (size + 1)
+                wide = np.uint32 if int(part[-1]) - base + size < 1 << 32 else np.int64
+                own = np.sort((part - base).astype(wide))
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+                if at:
+                    cut = own < size + 1
+                    again = np.isin(own[cut], (last[last // (size + 1) == base // (size + 1)] - base).astype(wide))
+                    own = np.concatenate([own[cut][~again], own[~cut]])
+                counts += np.bincount(own % (size + 1), minlength=size + 1)
+                last = pairs[max(0, at + (1 << 16) - WINDOW) : at + (1 << 16)]
+            counts[0] += n  # 0 counts all passages
         k = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(counts[k])], names=["k", "n"])
 
@@ -182,24 +216,51 @@ def _searched(items: Items, weights: np.ndarray, vectors: np.ndarray):
     projected = (weights[:, None] * vectors).astype(np.float32)
     latent = np.stack([projected[w].sum(0) for w in items.words])
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+    rare = np.zeros(len(weights), np.int32)
+    rare[answers[answers > 0]] = 1
+    half = np.ceil(wanted / 2).astype(int)
+    enough = int(half.min())
+    of_item, column = np.nonzero(answers > 0)
+    by_word = np.argsort(answers[of_item, column], kind="stable")
+    of_item, asked = of_item[by_word], answers[of_item, column][by_word]
     scales = np.maximum(SHORTEST, 1 << np.ceil(np.log2(lengths)).astype(int))
 
-    def candidates(words: np.ndarray, bounds: np.ndarray, width: int, some: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Text, item, cosine and first word of the windows that are close to one of some items."""
-        stride, lengths = width // 4, np.diff(bounds)
+    def candidates(words: np.ndarray, bounds: np.ndarray, width: int, rares: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Text, item, cosine and first word of the windows that are close to an item of this width. Half of an item's
+        answer words are asked for in any case, so only windows with so many of them are projected and compared."""
+        stride, lengths, wide = width // 4, np.diff(bounds), scales == width
         n = np.where(lengths > 0, np.maximum(0, -(-(lengths - width) // stride)) + 1, 0)
         text = np.repeat(np.arange(len(n)), n)
         start = bounds[text] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
         end = np.minimum(start + width, bounds[text + 1])
-        own, out = np.ascontiguousarray(latent[some].T), []
-        for at in range(0, len(start), 8192):
-            z = sums[end[at : at + 8192]] - sums[start[at : at + 8192]]
-            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-6)
-            product = z @ own
-            w, k = np.nonzero(product >= (CANDIDATE * norm)[:, None])
-            out.append((text[at + w], some[k], product[w, k] / norm[w], start[at + w]))
+        margin = width // 4
+        rich = np.flatnonzero(rares[np.minimum(end + margin, bounds[text + 1])] - rares[np.maximum(start - margin, bounds[text])] >= enough)
+        text, start, end, out = text[rich], start[rich], end[rich], []
+        here = words[np.flatnonzero(rare[words])]
+        for at in range(0, len(start), 4096):
+            s, e, t = start[at : at + 4096], end[at : at + 4096], text[at : at + 4096]
+            low, high = rares[np.maximum(s - margin, bounds[t])], rares[np.minimum(e + margin, bounds[t + 1])]
+            window, k = spread(np.arange(len(s)), low, high)
+            first, last = np.searchsorted(asked, here[k]), np.searchsorted(asked, here[k], "right")
+            window, k = spread(window, first, last)
+            pair, n = np.unique(window * len(wanted) + of_item[k], return_counts=True)
+            w, k = pair // len(wanted), pair % len(wanted)
+            kept = (n >= half[k]) & wide[k]
+            w, k = w[kept], k[kept]
+            used, w = np.unique(w, return_inverse=True)
+            place = s[used, None] + np.arange(width)
+            z = projected[np.where(place < e[used, None], words[np.minimum(place, len(words) - 1)], 0)].sum(1)
+            cosine = np.einsum("ij,ij->i", z[w], latent[k]) / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-6)[w]
+            near = np.flatnonzero(cosine >= CANDIDATE)
+            out.append((t[used[w[near]]], k[near], cosine[near], s[used[w[near]]]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
 
+    def spread(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each owner with every number of its range."""
+        n = high - low
+        row = np.repeat(np.arange(len(owner)), n)
+        return owner[row], np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[row]
+
     def verified(words: np.ndarray, bounds: np.ndarray, width: int, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """Of the candidates those that copy or paraphrase their item."""
         margin, kept = width // 4, []
@@ -223,10 +284,9 @@ def _searched(items: Items, weights: np.ndarray, vectors: np.ndarray):
             near: dict[int, list] = {}
             for low, high in _blocks(bounds * 8):
                 first, last = int(bounds[low]), int(bounds[high])
-                sums = np.zeros((last - first + 1, projected.shape[1]), np.float32)
-                np.cumsum(projected[every[first:last]], axis=0, out=sums[1:])
+                rares = np.concatenate([[0], np.cumsum(rare[every[first:last]])])
                 for width in np.unique(scales).tolist():
-                    text, item, cosine, start = candidates(every[first:last], bounds[low : high + 1] - first, width, np.flatnonzero(scales == width), sums)
+                    text, item, cosine, start = candidates(every[first:last], bounds[low : high + 1] - first, width, rares)
                     near.setdefault(width, []).append((text + low, item, cosine, start + first))
             hits = [verified(every, bounds, width, found) for width, parts in near.items() if len((found := tuple(np.concatenate(x) for x in zip(*parts, strict=True)))[0])]
             if not hits:
