@@ -33,16 +33,22 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, _fill long"
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(tokenizer_path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path)
+
+
 @lru_cache(maxsize=2)
 def _encoder(tokenizer_path: str):
     """Encode a list of texts. The vocabulary also exists as ranks, which are several times faster and give the same
     ids; texts with the special token's string, and vocabularies without a ranks file, go to the tokenizers library."""
     import os
 
-    from tokenizers import Tokenizer
+    def plain(text: str) -> list[int]:
+        return _tokenizer(tokenizer_path).encode(text, add_special_tokens=False).ids
 
-    slow = Tokenizer.from_file(tokenizer_path)
-    plain = lambda text: slow.encode(text, add_special_tokens=False).ids
     ranks = tokenizer_path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
         return plain

@@ -30,7 +30,7 @@ _U = np.uint64
 _BASE, _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _powers: list[np.ndarray] = []
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:

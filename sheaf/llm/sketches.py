@@ -146,10 +146,38 @@ def linked(x: str, y: str):
     return sizes & (both * 100 >= (all_ - both) * LINK)
 
 
+#: Edges up to which one task joins them up (16 bytes each); larger graphs go through stars.
+ONE_TASK_EDGES = 1_000_000
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least node of its component) of all edges of one task, whose number is checked before."""
+    parts = [np.stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    edges = np.concatenate(parts, 1)
+    nodes, at = np.unique(edges, return_inverse=True)
+    x, y = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (x, y):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge, label the smallest node reachable: alternating large and small stars."""
     spark = edges.sparkSession
     at = stored(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+    if at.count() <= ONE_TASK_EDGES:
+        return at.coalesce(1).mapInArrow(_joined_up, "node long, label long")
     while True:
         both = at.unionByName(at.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -174,8 +202,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     rows = keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     table = stored(sketched(rows), "sketches")
+    few = stored(table.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node"), "documents")
     nodes = table.where("n > 0").groupBy("node").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.any_value("registers").alias("registers"), F.any_value("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
+    discard(table)
+    release(spark)
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = stored(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
     members = stored(placed.join(shared, "bucket").select("bucket", F.col("node").alias("x"), "k"), "members")
@@ -195,6 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     full = stored(rows.select("rk", "text").join(wanted, "rk").select("node", "text").mapInArrow(_full_sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    discard(nodes)
     release(spark)
 
     def verified(some: DataFrame) -> DataFrame:
@@ -222,11 +254,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             near = (F.col("bucket") == F.col("bucket_y")) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly"))
             links = left.join(right, near & linked("ix", "iy")).select("x", "y").distinct()
         links = stored(links, "links")
-        release(spark)
         if not links.isEmpty():
             labels = merged(labels, links)
     final = labels
-    return table.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node").join(final, "node", "left").select("doc_id", "rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
+    return few.join(final, "node", "left").select("doc_id", "rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
