@@ -210,7 +210,7 @@ def _searched(items: Items, weights: np.ndarray, vectors: np.ndarray):
     answers = np.full((len(lengths), ANSWER_WORDS), -2, np.int32)
     for k, w in enumerate(items.words):
         padded[k, : len(w)] = w
-        rare = sorted(set(w.tolist()), key=lambda x: (-weights[x], x))[:ANSWER_WORDS]
+        rare = sorted({x for x in w.tolist() if weights[x] > 0}, key=lambda x: (-weights[x], x))[:ANSWER_WORDS]
         answers[k, : len(rare)] = rare
     wanted = (answers > 0).sum(1)
     projected = (weights[:, None] * vectors).astype(np.float32)
@@ -218,7 +218,7 @@ def _searched(items: Items, weights: np.ndarray, vectors: np.ndarray):
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
     rare = np.zeros(len(weights), np.int32)
     rare[answers[answers > 0]] = 1
-    half = np.ceil(wanted / 2).astype(int)
+    half = np.where(wanted > 0, np.ceil(wanted / 2), WINDOW * 1000).astype(int)
     enough = int(half.min())
     of_item, column = np.nonzero(answers > 0)
     by_word = np.argsort(answers[of_item, column], kind="stable")
@@ -324,7 +324,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
             continue
         table = stored(numbered(docs, items.vocabulary), "words")
         counts, passages = passage_frequencies(table, len(items.vocabulary))
-        weights = np.log((passages + 1) / (counts + 0.5))
+        weights = np.where(counts > 0, np.log((passages + 1) / (counts + 0.5)), 0)  # words that no document has find nothing
         weights[0] = 0
         vectors = singular_vectors(table, weights)
         hits = table.mapInArrow(_searched(items, weights, vectors), RESULT)
