@@ -31,7 +31,7 @@ def read_texts(spark: SparkSession, path: str, recursive: bool = True, encoding:
     its suffix; file stems that occur twice are an error, as ids would collide."""
     single = os.path.isfile(path)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(path).select(F.col("path").alias("source"), F.decode("content", F.lit(encoding)).alias("text"))
+    files = reader.load(path).select(F.col("path").alias("source"), F.decode("content", encoding).alias("text"))
     if not single:
         suffix = F.lower(F.regexp_extract("source", r"(\.[^./]+)$", 1))
         files = files.where(suffix.isin(*TEXT_SUFFIXES))
@@ -47,8 +47,10 @@ def read_texts(spark: SparkSession, path: str, recursive: bool = True, encoding:
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines without blank and comment lines, validated; the first fault raises with its cause."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r"(?U)\S") & ~F.trim("value").startswith("#"))
-    gold = lines.select(F.from_json("value", GOLD, {"mode": "FAILFAST"}).alias("g")).select("g.*")
+    # filters may move past the parser, so what isn't a record is null to it
+    record = F.when(F.col("value").rlike(r"(?U)\S") & ~F.trim("value").startswith("#"), F.col("value"))
+    parsed = spark.read.text(path).select(F.from_json(record, GOLD, {"mode": "FAILFAST"}).alias("g"))
+    gold = parsed.where("g is not null").select("g.*")
     gold = gold.withColumns({"answer_aliases": F.coalesce("answer_aliases", F.array().cast("array<string>")), "answerable": F.coalesce("answerable", F.lit(True)), "evidence": F.coalesce("evidence", F.array().cast("array<struct<page: int, quote: string, section_path: string>>")), "answer_type": F.coalesce("answer_type", F.lit("short"))})
     empty = F.exists("evidence", lambda e: e["page"].isNull() & (F.coalesce(e["quote"], F.lit("")) == "") & (F.coalesce(e["section_path"], F.lit("")) == ""))
     fault = F.when(F.col("qid").isNull() | (F.col("qid") == ""), "no qid").when(~F.col("answer_type").isin(*QUESTION_TYPES), "unknown answer_type").when(empty, "evidence without page, quote and section").when(F.col("answerable") & (F.coalesce("answer", F.lit("")) == ""), "answerable without answer")
