@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 # Fixed values.
 ANSWER_PUNCTUATION = r"""[。、．，・：；！？「」『』（）〔〕［］｛｝〈〉《》【】\"'`()\[\]{}<>:;!?,.…‥~〜ー–—\-_/\\|＋+*=＝]"""
@@ -89,6 +89,33 @@ def token_estimate(text: Column) -> Column:
     return (F.floor((size - other) * F.lit(ASCII_TOKENS) + other * F.lit(OTHER_TOKENS)) + 1).cast("int")
 
 
+def token_count(text: Column, tokenizer_path: str | None = None) -> Column:
+    """Struct of n and method: exact by a tokenizer file where it and its library can be read, else the estimate."""
+    estimate = F.struct(token_estimate(text).alias("n"), F.lit("estimate").alias("method"))
+    try:
+        from tokenizers import Tokenizer
+
+        Tokenizer.from_file(tokenizer_path or "")
+    except Exception:  # noqa: BLE001  any fault means the estimate, which the method says
+        return estimate
+
+    @F.pandas_udf(IntegerType())
+    def exact(texts: pd.Series) -> pd.Series:
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        return texts.map(lambda t: None if t is None else len(tokenizer.encode(t, add_special_tokens=False).ids)).astype("Int32")
+
+    return F.struct(exact(text).alias("n"), F.lit("tokenizer").alias("method"))
+
+
+def tokens(text: Column, name: str = "char_ngram", **options) -> Column:
+    """Tokens by a tokenizer's name; T2, morphemes, needs a library that is not part of the engine."""
+    if name == "char_ngram":
+        return token_ngrams(text, **options)
+    if name == "sudachi":
+        raise ImportError("tokenizer 'sudachi' needs SudachiPy and a dictionary; use 'char_ngram'")
+    raise ValueError(f"unknown tokenizer {name!r}; known: char_ngram, sudachi")
+
+
 def _kept(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 

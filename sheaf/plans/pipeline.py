@@ -13,6 +13,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.functions.text import tokens
 from sheaf.operators import answers, chunking, contexts, retrieval, vectors
 from sheaf.sources import files
 
@@ -113,8 +114,7 @@ def _dense(index: Mapping[str, DataFrame], embed, top_k: int = 5):
 
 @register("retriever", "sparse")
 def _sparse(index: Mapping[str, DataFrame], top_k: int = 5, tokenizer: str = "char_ngram", tokenizer_options: Mapping[str, Any] | None = None, k1: float = retrieval.K1, b: float = retrieval.B):
-    if tokenizer != "char_ngram":
-        raise registry.RegistryError(f"tokenizer {tokenizer!r} needs a library that is not installed; known: char_ngram")
+    tokens(F.lit(""), tokenizer)
     return lambda queries: retrieval.bm25(queries, index["chunks"], top_k, (tokenizer_options or {}).get("n", 2), k1, b)
 
 

@@ -57,6 +57,14 @@ def test_estimates_and_splits(spark):
     assert column(spark, text.pick_quote, quotes) == ["これは十二文字より長い文です。", None, "one line that is long enough", None]
 
 
+def test_token_counts_and_tokenizers(spark):
+    assert [r["method"] for r in column(spark, lambda t: text.token_count(t, "/nowhere.json"), ["a"])] == ["estimate"]
+    with pytest.raises(ImportError):
+        text.tokens(F.lit("a"), "sudachi")
+    with pytest.raises(ValueError):
+        text.tokens(F.lit("a"), "other")
+
+
 def python_f1(p, r):
     if not p or not r:
         return 1.0 if not p and not r else 0.0
