@@ -126,8 +126,10 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, bounds = texts_of(batch.column(1))
         for low, high in _blocks(bounds):
             own = bounds[low : high + 1]
-            sets = [s.view(np.int64) for s in shingle_sets(raw[own[0] : own[-1]], own - own[0])]
-            yield pa.record_batch([batch.column(0).slice(low, high - low), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+            sets = shingle_sets(raw[own[0] : own[-1]], own - own[0])
+            items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            bands = pa.array([band_keys(registers(s)).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0).slice(low, high - low), items, bands], names=["node", "items", "bands"])
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = stored(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    full = stored(rows.select("rk", "text").join(wanted, "rk").select("node", "text").mapInArrow(_full_sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    full = stored(rows.select("rk", "text").join(wanted, "rk").select("node", "text").mapInArrow(_full_sets, "node long, items array<long>, bands array<long>").dropDuplicates(["node"]), "sets")
     discard(nodes)
     release(spark)
 
@@ -249,10 +251,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if turn < TURNS:  # another node stands for the bucket: most of what is linked joins here, at one pair a node
             links = verified(placed.join(apart, "bucket").where("label <> r.label").select(F.col("node").alias("x"), F.col("r.node").alias("y")).distinct())
         else:  # the rest: every pair of different components, in whole
-            open_ = placed.join(apart.select("bucket"), "bucket", "left_semi").join(full, "node").select("bucket", "node", "label", "items")
-            left, right = open_.toDF("bucket", "x", "lx", "ix"), open_.toDF("bucket_y", "y", "ly", "iy")
+            open_ = placed.join(apart.select("bucket"), "bucket", "left_semi").join(full, "node").select("bucket", "node", "label", "items", "bands")
+            left, right = open_.toDF("bucket", "x", "lx", "ix", "bx"), open_.toDF("bucket_y", "y", "ly", "iy", "by")
             near = (F.col("bucket") == F.col("bucket_y")) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly"))
-            links = left.join(right, near & linked("ix", "iy")).select("x", "y").distinct()
+            # a pair is verified in the first bucket that it shares
+            earlier = (F.array_position("bx", F.col("bucket")) - 1).cast("int")
+            first = ~F.arrays_overlap(F.slice("bx", F.lit(1), earlier), F.slice("by", F.lit(1), earlier))
+            links = left.join(right, near & first & linked("ix", "iy")).select("x", "y")
         links = stored(links, "links")
         if not links.isEmpty():
             labels = merged(labels, links)
