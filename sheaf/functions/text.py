@@ -17,6 +17,8 @@ UNIT_SPLIT = r"(?<=[。！？!?])|\n+"
 MARKDOWN_HEADING = r"^\s*#{1,6}\s"
 LIST_MARKER = r"^\s*(?:[-*・]|\d+[.)])\s*"
 DRAFT_SENTENCE = r"[^。！？\n]+[。！？]?"
+#: Segments up to this length are cut by substrings, which is faster for words and quadratic beyond them.
+SHORT = 500
 QUOTE_MIN, QUOTE_MAX = 12, 40
 ASCII_TOKENS, OTHER_TOKENS = 0.3, 1.1
 
@@ -69,7 +71,8 @@ def grams_of(segment: Column, n: int) -> Column:
 def token_ngrams(text: Column, n: int = 2, unicode: bool = True) -> Column:
     """N-grams inside white-space segments, lower case, noise segments left out; a multiset."""
     segments = F.filter(F.split(F.lower(nfkc(text) if unicode else text), r"(?U)\s+"), lambda s: (s != "") & ~s.rlike("(?U)" + TOKEN_NOISE))
-    return F.flatten(F.transform(segments, lambda s: F.when(F.length(s) < n, F.array(s)).otherwise(grams_of(s, n))))
+    short = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))
+    return F.flatten(F.transform(segments, lambda s: F.when(F.length(s) < n, F.array(s)).when(F.length(s) <= SHORT, short(s)).otherwise(grams_of(s, n))))
 
 
 def ngram_set(text: Column, n: int = 3, unicode: bool = True) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .vectors import ranked, vector_topk
 
 K1, B, EPSILON, RRF_K, CHILD_K = 1.5, 0.75, 0.25, 60, 20
 EMPTY = "__empty__"
+#: Bytes of query weights that a task holds at once.
+MATRIX_BYTES = 64 << 20
 
 
 def identity(text: Column) -> Column:
@@ -52,9 +56,10 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
 
 
 def postings(chunks: DataFrame, n: int = 2, unicode: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(chunk_id, corpus_ord, term, tf, dl) and (term, df_, idf): counted with partial aggregates."""
-    tokens = token_ngrams(F.coalesce("text", F.lit("")), n, unicode)
-    filled = chunks.select("chunk_id", "corpus_ord", F.when(F.size(tokens) == 0, F.array(F.lit(EMPTY))).otherwise(tokens).alias("tokens"))
+    """(chunk_id, corpus_ord, term, tf, dl) and (term, df_, idf). Texts are dealt by chunk before they are cut, so the
+    far larger table of their terms is counted and grouped by chunk where it arises."""
+    tokens = let(token_ngrams(F.coalesce("text", F.lit("")), n, unicode), lambda t: F.when(F.size(t) == 0, F.array(F.lit(EMPTY))).otherwise(t))
+    filled = chunks.select("chunk_id", "corpus_ord", "text").repartition("chunk_id").select("chunk_id", "corpus_ord", tokens.alias("tokens"))
     counted = filled.select("chunk_id", "corpus_ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     tf = counted.groupBy("chunk_id", "corpus_ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = filled.agg(F.count(F.lit(1)).alias("n_docs"))
@@ -75,22 +80,56 @@ def bm25_scores(queries: DataFrame, tf: DataFrame, idf: DataFrame, n: int = 2, k
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, n: int = 2, k1: float = K1, b: float = B, unicode: bool = True) -> DataFrame:
-    """R2: the k best chunks of each question that has a token. Chunks without a common term score 0 and fill up in
-    corpus order; they are looked for only where fewer than k score above 0."""
+    """R2: the k best chunks of each question that has a token; chunks without a common term score 0 and so fill up in
+    corpus order. The query side becomes a matrix of term weights (in blocks of checked size); each chunk brings its
+    terms once and is scored against all queries at a time, and only k chunks a question leave a batch."""
     tf, idf = postings(chunks, n, unicode)
-    per_query = bm25_scores(queries, tf, idf, n, k1, b, unicode)
-    asked = queries.where(F.size(token_ngrams(F.coalesce("text", F.lit("")), n, unicode)) > 0).groupBy("qid").agg(F.count(F.lit(1)).alias("n_queries"))
-    # a query of the question that a chunk shares nothing with scores it 0
-    scored = per_query.groupBy("qid", "chunk_id", "corpus_ord").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n")).join(asked, "qid")
-    scored = scored.select("qid", "chunk_id", "corpus_ord", F.when(F.col("n") < F.col("n_queries"), F.greatest("best", F.lit(0.0))).otherwise(F.col("best")).alias("score")).persist()
-    facts = scored.groupBy("qid").agg(F.count_if(F.col("score") > 0).alias("above"), F.count(F.lit(1)).alias("matched"))
-    short = asked.join(facts, "qid", "left").where(F.coalesce("above", F.lit(0)) < k).select("qid", F.coalesce("matched", F.lit(0)).alias("matched"))
-    most = short.agg(F.max("matched")).first()[0]
-    if most is not None:
-        first = chunks.select("chunk_id", "corpus_ord").orderBy("corpus_ord").limit(int(most) + k)  # holds k unmatched ones, or all chunks
-        zeros = short.select("qid").crossJoin(first).join(scored.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-        scored = scored.unionByName(zeros)
-    return ranked(scored, k).withColumn("provenance", F.create_map(F.lit("bm25"), "score"))
+    tokens = F.explode(token_ngrams(F.coalesce("text", F.lit("")), n, unicode))
+    asked = queries.select("qid", "q_ord", tokens.alias("term")).groupBy("qid", "q_ord", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    entries = asked.join(idf, "term", "left").select("qid", "q_ord", "term", (F.col("qtf") * F.coalesce("idf", F.lit(0.0))).alias("w")).toPandas()
+    average = tf.select("chunk_id", "dl").distinct().agg(F.avg("dl")).first()[0]
+    qid = queries.schema["qid"].dataType.simpleString()
+    found: DataFrame | None = None
+    questions = sorted(entries["qid"].unique()) if len(entries) else []
+    per_block = max(1, int(MATRIX_BYTES // (8 * max(1, entries["term"].nunique() * max(1, len(entries[["qid", "q_ord"]].drop_duplicates()) // max(1, len(questions)))))))
+    for at in range(0, max(len(questions), 1), per_block):
+        block = entries[entries["qid"].isin(questions[at : at + per_block])].sort_values(["qid", "q_ord"], kind="stable")
+        terms = sorted(block["term"].unique())
+        number = {t: i for i, t in enumerate(terms)}
+        columns = block[["qid", "q_ord"]].drop_duplicates()
+        place = {(r.qid, r.q_ord): i for i, r in enumerate(columns.itertuples())}
+        matrix = np.zeros((len(terms) + 1, len(columns)))  # the last row is for chunks without a common term
+        for r in block.itertuples():
+            matrix[number[r.term], place[(r.qid, r.q_ord)]] = r.w * (k1 + 1)
+        names = columns["qid"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
+
+        def run(batches: Iterator[pd.DataFrame], matrix: np.ndarray = matrix, starts: np.ndarray = starts, own: np.ndarray = names[starts]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch) or not len(own):
+                    continue
+                sizes = np.array([len(x) for x in batch["terms"]])
+                ids = np.concatenate([x if len(x) else [len(matrix) - 1] for x in batch["terms"]]).astype(int)
+                counts = np.concatenate([x if len(x) else [0] for x in batch["tfs"]]).astype(float)
+                row = np.repeat(np.arange(len(batch)), np.maximum(sizes, 1))
+                norm = k1 * (1 - b + b * batch["dl"].to_numpy(float) / average)
+                part = counts / (counts + norm[row])
+                first = np.concatenate([[0], np.cumsum(np.maximum(sizes, 1))[:-1]])
+                scores = np.concatenate([np.add.reduceat(matrix[ids, c : c + 64] * part[:, None], first, axis=0) for c in range(0, matrix.shape[1], 64)], axis=1)
+                best = np.maximum.reduceat(scores, starts, axis=1).T
+                order = batch["corpus_ord"].to_numpy()
+                top = np.stack([np.lexsort((order, -x))[:k] for x in best])
+                q, chunk = np.repeat(np.arange(len(own)), top.shape[1]), top.ravel()
+                yield pd.DataFrame({"qid": own[q], "chunk_id": batch["chunk_id"].to_numpy()[chunk], "corpus_ord": order[chunk], "score": best[q, chunk]})
+
+        listed = chunks.sparkSession.createDataFrame(pd.DataFrame({"term": terms, "t": range(len(terms))}) if terms else [], "term string, t int")
+        met = tf.join(F.broadcast(listed), "term", "left")
+        pairs = F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "tf"))))
+        rows = met.groupBy("chunk_id", "corpus_ord", "dl").agg(pairs.alias("p")).select("chunk_id", "corpus_ord", "dl", F.col("p.t").alias("terms"), F.col("p.tf").alias("tfs"))
+        kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "corpus_ord")}
+        part = rows.mapInPandas(run, f"qid {qid}, chunk_id {kinds['chunk_id']}, corpus_ord {kinds['corpus_ord']}, score double")
+        found = part if found is None else found.unionByName(part)
+    return ranked(found, k).withColumn("provenance", F.create_map(F.lit("bm25"), "score"))
 
 
 def fuse(children: Sequence[tuple[str, DataFrame]], k: int = 5, weights: Sequence[float] | None = None, rrf_k: float = RRF_K) -> DataFrame:
