@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, each is normalised (lower case; runs of anything but a-z and 0-9 become one space) and
-mapped to the identifier of a known licence sentence; the sequence of identifiers is then matched against ordered
+mapped to the identifier of a known licence sentence, also where a notice wraps it before a capital, numbers it as an
+item of a list or has a colon or semicolon inside it; the sequence of identifiers is then matched against ordered
 rules, longest rule first, leftmost and without overlap. Everything happens inside the row, so no shuffle is needed.
 
 Defined cases: a null or empty text has no sentence and no licence; repeated notices count each time; a known sentence
@@ -53,6 +54,12 @@ ORDER = ("restricted", "copyleft", "permissive")
 LEADER = r"(^|\n)[ \t]*(#+|//+|\*+|;+)[ \t]"
 WRAP = r'([a-z,])\n[ \t]*([a-z"(])'
 STOP = r"([.!?;:])[ \t\r]+"
+#: Between two words of a known sentence: anything but words, the end of a sentence and an empty line. Standard notices
+#: of the GPL put a colon or semicolon at the places of INNER.
+GAP = r"(?=[^A-Za-z0-9])(?:(?![.!?;:]\s)[^A-Za-z0-9\n])*+(?:\n(?![ \t\r]*\n)[^A-Za-z0-9\n]*+)?"
+INNER_GAP = r"(?=[^A-Za-z0-9])[^A-Za-z0-9\n]*+(?:\n(?![ \t\r]*\n)[^A-Za-z0-9\n]*+)?"
+INNER = ("free software|you can", "any warranty|without even")
+ITEM = r"(?:(?<![^\n])[ \t]*\(?[0-9a-z]{1,2}[.)][ \t]+)?"
 LONGEST = max(map(len, SENTENCES.values())) + 200
 
 
@@ -60,10 +67,27 @@ def _literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _pattern(sentence: str) -> str:
+    """The sentence as notices have it: any case, broken over lines, with or without the number of a list item."""
+    for place in INNER:
+        sentence = sentence.replace(place.replace("|", " "), place)
+    parts = [GAP.join(part.split()) for part in sentence.split("|")]
+    return f"(?i){ITEM}(?<![A-Za-z0-9])(?:" + INNER_GAP.join(parts) + ")(?![A-Za-z0-9])"
+
+
+def _notices_joined(flat: Column) -> Column:
+    """The text with each known sentence in one piece; whatever stands around a sentence stays."""
+    starts = "|".join(dict.fromkeys(GAP.join(s.split()[:2]) for s in SENTENCES.values()))
+    joined = flat
+    for sentence in sorted(SENTENCES.values(), key=len, reverse=True):
+        joined = F.regexp_replace(joined, _pattern(sentence), sentence)
+    return F.when(flat.rlike(f"(?i)(?:{starts})"), joined).otherwise(flat)
+
+
 def sentence_ids(text: Column) -> Column:
     """One character a sentence: its identifier, or '.' for an unknown sentence; empty sentences are left out."""
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), LEADER, "$1")
-    flat = F.regexp_replace(F.regexp_replace(flat, WRAP, "$1 $2"), STOP, "$1\n")
+    flat = F.regexp_replace(_notices_joined(F.regexp_replace(flat, WRAP, "$1 $2")), STOP, "$1\n")
     known, marks = _literals(SENTENCES.values()), _literals(SENTENCES)
 
     def mark(sentence: Column) -> Column:
