@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from sheaf.llm import latent, packing, pii, quality, sketches
 from sheaf.llm.common import stored, table
 
+#: Words of a shingle in the stage that drops near duplicates.
+SHINGLE = 5
+
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sketches.representatives(docs)
+    return sketches.representatives(docs, SHINGLE)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

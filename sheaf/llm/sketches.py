@@ -11,13 +11,14 @@ that share a bucket is never lost while linked copies cost one pair each; only l
 A pair at similarity 0.8 shares no bucket with probability of about 3e-6 (48 bands of 6 out of 192 registers).
 
 Defined cases: null or empty text, or text without words, has an empty set and is linked with nothing; equal sets are
-always linked; one word makes one shingle; rows of equal doc_id are separate nodes if their sets differ; null doc_id
+always linked; too few words for a shingle make one; rows of equal doc_id are separate nodes if their sets differ; null doc_id
 takes part, never names a component unless no other id can (component null, kept true); other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -102,12 +103,12 @@ def likely(larger: np.ndarray, smaller: np.ndarray, n_x: np.ndarray, n_y: np.nda
     return chosen
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, bounds = texts_of(batch.column(2))
         for low, high in _blocks(bounds):
             own = bounds[low : high + 1]
-            sets = shingle_sets(raw[own[0] : own[-1]], own - own[0])
+            sets = shingle_sets(raw[own[0] : own[-1]], own - own[0], size)
             sizes = np.array([len(s) for s in sets])
             node = np.array([s.sum(dtype=_U) for s in map(mix, sets)], _U) if sets else np.zeros(0, _U)
             node = mix(node + sizes.astype(_U) * _C3)
@@ -117,16 +118,16 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), part.column(1), _long(sizes), _long(node), pa.array([None if r is None else r.tobytes() for r in sketches], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "rk", "n", "node", "registers", "bands"])
 
 
-def sketched(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "rk", "text").mapInArrow(_sketched, "doc_id long, rk long, n long, node long, registers binary, bands array<long>")
+def sketched(rows: DataFrame, size: int) -> DataFrame:
+    return rows.select("doc_id", "rk", "text").mapInArrow(partial(_sketched, size=size), "doc_id long, rk long, n long, node long, registers binary, bands array<long>")
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, bounds = texts_of(batch.column(1))
         for low, high in _blocks(bounds):
             own = bounds[low : high + 1]
-            sets = shingle_sets(raw[own[0] : own[-1]], own - own[0])
+            sets = shingle_sets(raw[own[0] : own[-1]], own - own[0], size)
             items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             bands = pa.array([band_keys(registers(s)).view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.record_batch([batch.column(0).slice(low, high - low), items, bands], names=["node", "items", "bands"])
@@ -198,12 +199,12 @@ def components(edges: DataFrame) -> DataFrame:
     return labelled.unionByName(at.select(F.col("y").alias("node"), F.col("y").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, rk, n_shingles, label for every row: rows of one label are linked, directly or over others."""
+def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
+    """doc_id, rk, n_shingles (of `size` words), label for every row: rows of one label are linked, directly or over others."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    table = stored(sketched(rows), "sketches")
+    table = stored(sketched(rows, size), "sketches")
     few = stored(table.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node"), "documents")
     nodes = table.where("n > 0").groupBy("node").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.any_value("registers").alias("registers"), F.any_value("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = stored(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    full = stored(rows.select("rk", "text").join(wanted, "rk").select("node", "text").mapInArrow(_full_sets, "node long, items array<long>, bands array<long>").dropDuplicates(["node"]), "sets")
+    full = stored(rows.select("rk", "text").join(wanted, "rk").select("node", "text").mapInArrow(partial(_full_sets, size=size), "node long, items array<long>, bands array<long>").dropDuplicates(["node"]), "sets")
     discard(nodes)
     release(spark)
 
@@ -273,10 +274,10 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "rk", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, size: int) -> DataFrame:
     """The rows of docs, all columns, that stay when one of each class does: the smallest id (then the smaller key of
     the text, then any of identical rows); rows without words all stay."""
-    near = stored(near_duplicates(docs), "near")
+    near = stored(near_duplicates(docs, size), "near")
     first = near.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rk"))).alias("m"))
     stay = first.select(F.col("m.rk").alias("_rk"), F.lit(True).alias("_one")).unionByName(near.where("label is null").select(F.col("rk").alias("_rk"), F.lit(False).alias("_one")).distinct())
     text = F.coalesce(F.col("text"), F.lit(""))
