@@ -28,6 +28,8 @@ from .common import small_batches, stored
 
 CAPACITY = 2048
 SHARD_ROWS = 40_000
+#: Rounds after which what is left keeps its last packing.
+LEVELS = 20
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, _fill long"
@@ -187,11 +189,11 @@ def _packed(level: int, capacity: int):
     return run
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, levels: int = LEVELS) -> DataFrame:
     """Every piece with the sequence that it lies in and its place there."""
     done: DataFrame | None = None
     rest, before = cut_pieces, None
-    for level in range(20):
+    for level in range(levels):
         n, tokens = rest.agg(F.count(F.lit(1)), F.sum("length")).first()
         shards = max(1, -(-n // shard_rows))
         now = stored(rest.repartition(shards).mapInArrow(_packed(level, capacity), PACKED), "packed")
@@ -200,7 +202,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHAR
         if shards == 1:
             break
         rest = now.where(F.col("_fill") < capacity)
-        if before is not None and tokens > 0.9 * before:  # what is left no longer shrinks: keep its packing
+        if before is not None and tokens > 0.9 * before or level == levels - 1:  # what is left hardly shrinks or was packed often enough: keep its packing
             done = done.unionByName(rest)
             break
         before = tokens
