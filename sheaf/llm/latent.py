@@ -4,13 +4,17 @@ Words (A-Z lower-cased, ASCII punctuation as white space) are numbered by the be
 the sequence of its word numbers, 0 for any other word, in one compact table. Passages are windows of words weighted by
 TF-IDF with frequencies counted over all passages of all documents. A distributed randomised SVD (one pass sums
 A'A Omega over all passages; the factors follow by the Nystroem formula on the driver, whose size is that of the
-benchmark's vocabulary) gives latent vectors. Overlapping windows of every document are compared with the benchmark
-items by cosine, each item with windows of the next power of two of its length; candidates are verified by the longest common subsequence with the item's words, and where that shows
-a paraphrase rather than a copy, by the answer: the item's rarest words must be in the passage.
+benchmark's vocabulary) gives latent vectors.
 
-Large benchmarks are searched in blocks of `BLOCK_ITEMS`. Defined cases: null or empty texts match nothing; an item
-without words is never found; repeated items are each reported; repeated documents are each reported; items shorter than
-`SHORT` words count only if all their words follow in order; other columns are ignored.
+The cosine alone makes the candidates: every document is cut into overlapping windows of about the length of an item
+(widths grow by half, a window starts every quarter of its width), and each window is compared with all items of its
+width by one matrix product. Candidates are verified by the longest common subsequence with the item's words: a copy has
+`COPY` of them in order, a paraphrase `PARAPHRASE` of them and `ANSWER` of the answer, the item's rarest words.
+
+Large benchmarks are searched in blocks of bounded rows and bytes. Defined cases: null or empty texts match nothing; an
+item without words is never found; an item with a null id is reported with that null; repeated items are each reported;
+repeated documents are each reported; items shorter than `SHORT` words count only if all their words follow in order;
+a document of any length is searched whole, in segments that overlap; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import discard, small_batches, stored, unused
 from .repeats import _U, _blocks, texts_of, word_symbols
 
-WINDOW, SHORTEST, RANK, OVERSAMPLE = 48, 16, 16, 8
+WINDOW, RANK, OVERSAMPLE = 48, 48, 16
 #: Cosine of candidates; shares of the item's words in the common subsequence for a copy and for a paraphrase; share
 #: of the answer words that a paraphrase must have; words of an answer; items too short for a paraphrase.
-CANDIDATE, COPY, PARAPHRASE, ANSWER, ANSWER_WORDS, SHORT = 0.2, 0.75, 0.5, 0.8, 8, 8
-BLOCK_ITEMS = 5_000
+CANDIDATE, COPY, PARAPHRASE, ANSWER, ANSWER_WORDS, SHORT = 0.35, 0.75, 0.5, 0.375, 8, 8
+#: Items and bytes of items of a block; words of a document that are searched at once.
+BLOCK_ITEMS, BLOCK_BYTES, SEGMENT = 5_000, 4 << 20, 1 << 15
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[65:91] += 32
 _SPACED[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
@@ -44,7 +49,7 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 class Items:
     """A block of benchmark items: ids, their word numbers, and the sorted hashes that number the vocabulary from 1."""
 
-    ids: np.ndarray
+    ids: pa.Array
     words: list[np.ndarray]
     vocabulary: np.ndarray
 
@@ -54,7 +59,7 @@ class Items:
         hashes, places = word_hashes(raw, bounds)
         vocabulary, numbers = np.unique(hashes, return_inverse=True)
         kept = [k for k in range(len(ids)) if places[k + 1] > places[k]]
-        return cls(np.array([ids[k] for k in kept], dtype=np.int64), [numbers[places[k] : places[k + 1]].astype(np.int32) + 1 for k in kept], vocabulary)
+        return cls(pa.array([ids[k] for k in kept], pa.int64()), [numbers[places[k] : places[k + 1]].astype(np.int32) + 1 for k in kept], vocabulary)
 
 
 def _numbering(vocabulary: np.ndarray):
@@ -188,123 +193,115 @@ def singular_vectors(table: DataFrame, weights: np.ndarray, seed: int = 5) -> np
     return left[:, :RANK]
 
 
-def common_subsequences(items: np.ndarray, passages: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of each pair of rows; items end with -1, numbers below 1 match nothing."""
-    row = np.zeros((passages.shape[1] + 1, len(items)), dtype=np.int16)
-    columns = np.ascontiguousarray(passages.T)
-    for k in range(items.shape[1]):
-        word = items[:, k]
-        before = row[0].copy()
-        for j in range(len(columns)):
-            same = (columns[j] == word) & (word > 0)
-            here = row[j + 1].copy()
-            row[j + 1] = np.where(same, before + 1, np.maximum(here, row[j]))
-            before = here
-    return row[-1]
+def common_subsequence(places: dict[int, int], n: int, seen: list[int]) -> int:
+    """Length of the longest common subsequence of an item of n words, given as the bits of the places of each word, and
+    the words seen: a row of the table is one number of n bits."""
+    full = row = (1 << n) - 1
+    for word in seen:
+        if here := places.get(word):
+            both = row & here
+            row = ((row + both) | (row - both)) & full
+    return n - row.bit_count()
+
+
+def _places(words: np.ndarray) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for k, w in enumerate(words.tolist()):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def width_of(length: int) -> int:
+    """The window width for an item: the first of 2, 3, 5, 8, 12 ... (half more each) that holds it."""
+    width = 2
+    while width < length:
+        width += -(-width // 2)
+    return width
+
+
+def segments(bounds: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of pieces of at most SEGMENT + overlap words that overlap, so that each window lies in one."""
+    lengths = np.diff(bounds)
+    n = np.maximum(1, -(-lengths // SEGMENT))
+    text = np.repeat(np.arange(len(lengths)), n)
+    start = bounds[text] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * SEGMENT
+    return text, start, np.minimum(start + SEGMENT + overlap, bounds[text + 1])
 
 
 def _searched(items: Items, weights: np.ndarray, vectors: np.ndarray):
     lengths = np.array([len(w) for w in items.words])
-    longest = int(lengths.max())
-    padded = np.full((len(lengths), longest), -1, np.int32)
-    answers = np.full((len(lengths), ANSWER_WORDS), -2, np.int32)
-    for k, w in enumerate(items.words):
-        padded[k, : len(w)] = w
-        rare = sorted({x for x in w.tolist() if weights[x] > 0}, key=lambda x: (-weights[x], x))[:ANSWER_WORDS]
-        answers[k, : len(rare)] = rare
-    wanted = (answers > 0).sum(1)
+    rarest = [sorted({x for x in w.tolist() if weights[x] > 0}, key=lambda x: (-weights[x], x))[:ANSWER_WORDS] for w in items.words]
     projected = (weights[:, None] * vectors).astype(np.float32)
     latent = np.stack([projected[w].sum(0) for w in items.words])
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
-    rare = np.zeros(len(weights), np.int32)
-    rare[answers[answers > 0]] = 1
-    half = np.where(wanted > 0, np.ceil(wanted / 2), WINDOW * 1000).astype(int)
-    enough = int(half.min())
-    of_item, column = np.nonzero(answers > 0)
-    by_word = np.argsort(answers[of_item, column], kind="stable")
-    of_item, asked = of_item[by_word], answers[of_item, column][by_word]
-    scales = np.maximum(SHORTEST, 1 << np.ceil(np.log2(lengths)).astype(int))
-
-    def candidates(words: np.ndarray, bounds: np.ndarray, width: int, rares: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Text, item, cosine and first word of the windows that are close to an item of this width. Half of an item's
-        answer words are asked for in any case, so only windows with so many of them are projected and compared."""
-        stride, lengths, wide = width // 4, np.diff(bounds), scales == width
-        n = np.where(lengths > 0, np.maximum(0, -(-(lengths - width) // stride)) + 1, 0)
-        text = np.repeat(np.arange(len(n)), n)
-        start = bounds[text] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
-        end = np.minimum(start + width, bounds[text + 1])
-        margin = width // 4
-        rich = np.flatnonzero(rares[np.minimum(end + margin, bounds[text + 1])] - rares[np.maximum(start - margin, bounds[text])] >= enough)
-        text, start, end, out = text[rich], start[rich], end[rich], []
-        here = words[np.flatnonzero(rare[words])]
-        for at in range(0, len(start), 4096):
-            s, e, t = start[at : at + 4096], end[at : at + 4096], text[at : at + 4096]
-            low, high = rares[np.maximum(s - margin, bounds[t])], rares[np.minimum(e + margin, bounds[t + 1])]
-            window, k = spread(np.arange(len(s)), low, high)
-            first, last = np.searchsorted(asked, here[k]), np.searchsorted(asked, here[k], "right")
-            window, k = spread(window, first, last)
-            pair, n = np.unique(window * len(wanted) + of_item[k], return_counts=True)
-            w, k = pair // len(wanted), pair % len(wanted)
-            kept = (n >= half[k]) & wide[k]
-            w, k = w[kept], k[kept]
-            used, w = np.unique(w, return_inverse=True)
-            place = s[used, None] + np.arange(width)
-            z = projected[np.where(place < e[used, None], words[np.minimum(place, len(words) - 1)], 0)].sum(1)
-            cosine = np.einsum("ij,ij->i", z[w], latent[k]) / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-6)[w]
-            near = np.flatnonzero(cosine >= CANDIDATE)
-            out.append((t[used[w[near]]], k[near], cosine[near], s[used[w[near]]]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
-
-    def spread(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each owner with every number of its range."""
-        n = high - low
-        row = np.repeat(np.arange(len(owner)), n)
-        return owner[row], np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[row]
-
-    def verified(words: np.ndarray, bounds: np.ndarray, width: int, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        """Of the candidates those that copy or paraphrase their item."""
-        margin, kept = width // 4, []
-        reach = np.arange(-margin, width + margin)
-        for at in range(0, len(found[0]), 8192):  # the rarest words of the item first, then the order of all
-            text, item, cosine, start = (x[at : at + 8192] for x in found)
-            place = start[:, None] + reach
-            inside = (place >= bounds[text][:, None]) & (place < bounds[text + 1][:, None])
-            seen = np.where(inside, words[np.clip(place, 0, len(words) - 1)], 0)
-            answer = _present(answers[item], seen) / np.maximum(wanted[item], 1)
-            some = np.flatnonzero(answer >= 0.5)
-            kept.append((text[some], item[some], cosine[some], answer[some], seen[some]))
-        text, item, cosine, answer, seen = (np.concatenate(x) for x in zip(*kept, strict=True))
-        share = np.concatenate([common_subsequences(padded[item[at : at + 65536], : min(width, longest)], seen[at : at + 65536]) for at in range(0, max(len(item), 1), 65536)]) / lengths[item]
-        good = (share >= np.where(lengths[item] < SHORT, 1.0, COPY)) | ((share >= PARAPHRASE) & (answer >= ANSWER) & (lengths[item] >= SHORT))
-        return text[good], item[good], cosine[good], share[good], answer[good]
+    widths = np.array([width_of(n) for n in lengths.tolist()])
+    of_width = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+    overlap = int(widths.max())
+
+    def candidates(sums: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, item and cosine of the windows of a segment that are close to an item of this width."""
+        start = np.append(np.arange(0, max(0, size - width), max(1, width // 4)), max(0, size - width))
+        z = sums[np.minimum(start + width, size)] - sums[start]
+        norm = np.sqrt(np.einsum("ij,ij->i", z, z))
+        z = z[some := np.flatnonzero(norm > 1e-4)] / norm[some, None]
+        own = of_width[width]
+        near = z @ latent[own].T
+        w, k = np.nonzero(near >= CANDIDATE)
+        return start[some[w]], own[k], near[w, k]
+
+    def verified(words: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the item's words, and of its answer words, of candidates in words[low:high]; 0 where too few
+        words are the item's for any common subsequence that counts."""
+        share, answer = np.zeros(len(item)), np.zeros(len(item))
+        member = np.zeros(len(weights), bool)
+        order = np.argsort(item, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], item[order][1:] != item[order][:-1]])) if len(item) else []
+        for own in np.split(order, cuts[1:]) if len(item) else []:
+            k = int(item[own[0]])
+            member[items.words[k]] = True
+            sums = np.concatenate([[0], np.cumsum(member[words])])
+            member[items.words[k]] = False
+            own = own[sums[high[own]] - sums[low[own]] >= PARAPHRASE * lengths[k]]
+            if not len(own):
+                continue
+            places, wanted = _places(items.words[k]), set(rarest[k])
+            for c in own.tolist():
+                seen = words[low[c] : high[c]].tolist()
+                share[c] = common_subsequence(places, int(lengths[k]), seen) / lengths[k]
+                answer[c] = len(wanted.intersection(seen)) / max(len(wanted), 1)
+        return share, answer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, bounds = _sequences(batch)
-            near: dict[int, list] = {}
-            for low, high in _blocks(bounds * 8):
-                first, last = int(bounds[low]), int(bounds[high])
-                rares = np.concatenate([[0], np.cumsum(rare[every[first:last]])])
-                for width in np.unique(scales).tolist():
-                    text, item, cosine, start = candidates(every[first:last], bounds[low : high + 1] - first, width, rares)
-                    near.setdefault(width, []).append((text + low, item, cosine, start + first))
-            hits = [verified(every, bounds, width, found) for width, parts in near.items() if len((found := tuple(np.concatenate(x) for x in zip(*parts, strict=True)))[0])]
-            if not hits:
+            near: list[tuple] = []
+            for text, begin, end in zip(*(x.tolist() for x in segments(bounds, overlap)), strict=True):
+                words = every[begin:end]
+                if not (words > 0).any():
+                    continue
+                sums = np.concatenate([np.zeros((1, projected.shape[1]), np.float32), np.cumsum(projected[words], axis=0)])
+                for width in of_width:
+                    start, item, cosine = candidates(sums, len(words), width)
+                    if not len(item):
+                        continue
+                    margin = width // 4
+                    low, high = np.maximum(start - margin, 0), np.minimum(start + width + margin, len(words))
+                    share, answer = verified(words, low, high, item)
+                    short = lengths[item] < SHORT
+                    good = np.flatnonzero(np.where(short, share >= 1, (share >= COPY) | ((share >= PARAPHRASE) & (answer >= ANSWER))))
+                    if len(good):
+                        near.append((np.full(len(good), text), item[good], cosine[good], share[good], answer[good]))
+            if not near:
                 continue
-            t, k, c, s, a = (np.concatenate(x) for x in zip(*hits, strict=True))
+            t, k, c, s, a = (np.concatenate(x) for x in zip(*near, strict=True))
             order = np.lexsort((-c, -s, k, t))
             t, k, c, s, a = t[order], k[order], c[order], s[order], a[order]
-            best = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])) if len(t) else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(t[best])), pa.array(items.ids[k[best]]), pa.array(c[best].astype(float)), pa.array(s[best].astype(float)), pa.array(a[best].astype(float))], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+            best = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(t[best])), items.ids.take(pa.array(k[best])), pa.array(c[best].astype(float)), pa.array(s[best]), pa.array(a[best])], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
     return run
 
 
-def _present(wanted: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """How many of the wanted words of each row are among those seen."""
-    return sum((seen == wanted[:, [j]]).any(1).astype(int) for j in range(wanted.shape[1]))
-
-
 RESULT = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
 
@@ -312,10 +309,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
     """doc_id, item_id, cosine, lcs_share, answer_share of every benchmark item found in a document."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = benchmark.count()
-    found: DataFrame | None = None
     ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = -(-n // block_items)
+    n, size = ordered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    found: DataFrame | None = None
+    blocks = max(-(-n // block_items), -(-size // BLOCK_BYTES))
     for b in range(blocks):
         own = ordered if blocks == 1 else ordered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = own.collect()
@@ -327,7 +324,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
         weights = np.where(counts > 0, np.log((passages + 1) / (counts + 0.5)), 0)  # words that no document has find nothing
         weights[0] = 0
         vectors = singular_vectors(table, weights)
-        hits = table.mapInArrow(_searched(items, weights, vectors), RESULT)
+        hits = stored(table.mapInArrow(_searched(items, weights, vectors), RESULT), "hits")
+        discard(table)
         found = hits if found is None else found.unionByName(hits)
     return spark.createDataFrame([], RESULT) if found is None else found
 
@@ -337,11 +335,12 @@ BROADCAST_ROWS = 300_000
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    hits = stored(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_rk")).distinct(), "hits")
+    """The rows of docs, all columns, that hold no benchmark item. Rows of equal id and text go or stay together; null
+    and empty texts stay; without items all rows stay."""
+    key, name = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))), unused(docs, "_rk")
+    hits = stored(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct(), "hits")
     few = hits.count() <= BROADCAST_ROWS
-    return docs.withColumn("_rk", key).join(F.broadcast(hits) if few else hits, "_rk", "left_anti").select(*docs.columns)
+    return docs.withColumn(name, key).join(F.broadcast(hits) if few else hits, name, "left_anti").select(*docs.columns)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,9 +269,30 @@ def test_decontamination(spark, docs):
     assert latent.contaminated(docs, items.limit(0)).count() == 0 and latent.contaminated(docs.limit(0), items).count() == 0
 
 
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
 def test_common_subsequences():
-    a, b = np.array([[1, 2, 3, -1], [5, 6, 5, 6]]), np.array([[9, 1, 0, 2, 3], [6, 5, 6, 6, 1]])
-    assert latent.common_subsequences(a, b).tolist() == [3, 3]
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        a, b = r.integers(1, 9, int(r.integers(1, 90))), r.integers(0, 9, int(r.integers(0, 90)))
+        assert latent.common_subsequence(latent._places(a), len(a), b.tolist()) == plain_common(a.tolist(), b.tolist())
+
+
+def test_segments_hold_every_window(monkeypatch):
+    monkeypatch.setattr(latent, "SEGMENT", 10)
+    bounds = np.array([0, 0, 7, 38])
+    text, start, end = latent.segments(bounds, 6)
+    for t, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        for s in range(low, max(low, high - 6) + 1):
+            assert any(a <= s and min(s + 6, high) <= b for k, a, b in zip(text, start, end) if k == t)
+    assert (end - start).max() <= 16
 
 
 def test_licences(spark, duck, docs, tmp_path):
