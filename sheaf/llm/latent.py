@@ -4,7 +4,7 @@ Words (A-Z lower-cased, ASCII punctuation as white space) are numbered by the be
 the sequence of its word numbers, 0 for any other word, in one compact table. Passages are windows of words weighted by
 TF-IDF with frequencies counted over all passages of all documents. A distributed randomised SVD (one pass sums
 A'A Omega over all passages; the factors follow by the Nystroem formula on the driver, whose size is that of the
-benchmark's vocabulary) gives latent vectors.
+benchmark's vocabulary) gives latent vectors, scaled by the singular values so that no common direction rules them.
 
 The cosine alone makes the candidates: every document is cut into overlapping windows of about the length of an item
 (widths grow by half, a window starts every quarter of its width), and each window is compared with all items of its
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from .common import discard, small_batches, stored, unused
 from .repeats import _U, _blocks, texts_of, word_symbols
 
-WINDOW, RANK, OVERSAMPLE = 48, 48, 16
+WINDOW, RANK, OVERSAMPLE = 48, 64, 16
 #: Cosine of candidates; shares of the item's words in the common subsequence for a copy and for a paraphrase; share
 #: of the answer words that a paraphrase must have; words of an answer; items too short for a paraphrase.
-CANDIDATE, COPY, PARAPHRASE, ANSWER, ANSWER_WORDS, SHORT = 0.35, 0.75, 0.5, 0.375, 8, 8
-#: Items and bytes of items of a block; words of a document that are searched at once.
-BLOCK_ITEMS, BLOCK_BYTES, SEGMENT = 5_000, 4 << 20, 1 << 15
+CANDIDATE, COPY, PARAPHRASE, ANSWER, ANSWER_WORDS, SHORT = 0.4, 0.75, 0.5, 0.375, 8, 8
+#: Items and bytes of items of a block; words that are searched at once.
+BLOCK_ITEMS, BLOCK_BYTES, SEGMENT = 1_000, 1 << 18, 1 << 13
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[65:91] += 32
 _SPACED[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
@@ -152,7 +152,8 @@ def _passages(bounds: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def singular_vectors(table: DataFrame, weights: np.ndarray, seed: int = 5) -> np.ndarray:
-    """The leading right singular vectors of the normalised TF-IDF passages, a row for each word number."""
+    """The leading right singular vectors of the normalised TF-IDF passages, each over its singular value, so that all
+    latent directions weigh the same in a cosine; a row for each word number."""
     size = len(weights)
     l = min(RANK + OVERSAMPLE, size)
     omega = np.random.default_rng(seed).normal(size=(size, l)).astype(np.float32)
@@ -189,8 +190,8 @@ def singular_vectors(table: DataFrame, weights: np.ndarray, seed: int = 5) -> np
     values, vectors = np.linalg.eigh(core)
     kept = values > max(values.max(), 1e-12) * 1e-9
     factor = product @ (vectors[:, kept] / np.sqrt(values[kept]))
-    left, _, _ = np.linalg.svd(factor, full_matrices=False)
-    return left[:, :RANK]
+    left, root, _ = np.linalg.svd(factor, full_matrices=False)
+    return left[:, :RANK] / np.maximum(root[:RANK], 1e-6)
 
 
 def common_subsequence(places: dict[int, int], n: int, seen: list[int]) -> int:
@@ -228,76 +229,98 @@ def segments(bounds: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray,
     return text, start, np.minimum(start + SEGMENT + overlap, bounds[text + 1])
 
 
+def windows(begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, start) of the windows of each segment: one every quarter of the width and one at the end."""
+    spare = np.maximum(end - begin - width, 0)
+    stride = max(1, width // 4)
+    n = np.where(end > begin, -(-spare // stride) + 1, 0)
+    own = np.repeat(np.arange(len(n)), n)
+    return own, begin[own] + np.minimum((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride, spare[own])
+
+
 def _searched(items: Items, weights: np.ndarray, vectors: np.ndarray):
     lengths = np.array([len(w) for w in items.words])
     rarest = [sorted({x for x in w.tolist() if weights[x] > 0}, key=lambda x: (-weights[x], x))[:ANSWER_WORDS] for w in items.words]
+    asked = np.array([max(len(x), 1) for x in rarest])
     projected = (weights[:, None] * vectors).astype(np.float32)
     latent = np.stack([projected[w].sum(0) for w in items.words])
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
     widths = np.array([width_of(n) for n in lengths.tolist()])
     of_width = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
-    overlap = int(widths.max())
-
-    def candidates(sums: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, item and cosine of the windows of a segment that are close to an item of this width."""
-        start = np.append(np.arange(0, max(0, size - width), max(1, width // 4)), max(0, size - width))
-        z = sums[np.minimum(start + width, size)] - sums[start]
-        norm = np.sqrt(np.einsum("ij,ij->i", z, z))
-        z = z[some := np.flatnonzero(norm > 1e-4)] / norm[some, None]
-        own = of_width[width]
-        near = z @ latent[own].T
-        w, k = np.nonzero(near >= CANDIDATE)
-        return start[some[w]], own[k], near[w, k]
-
-    def verified(words: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of the item's words, and of its answer words, of candidates in words[low:high]; 0 where too few
-        words are the item's for any common subsequence that counts."""
-        share, answer = np.zeros(len(item)), np.zeros(len(item))
-        member = np.zeros(len(weights), bool)
-        order = np.argsort(item, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], item[order][1:] != item[order][:-1]])) if len(item) else []
-        for own in np.split(order, cuts[1:]) if len(item) else []:
-            k = int(item[own[0]])
-            member[items.words[k]] = True
-            sums = np.concatenate([[0], np.cumsum(member[words])])
-            member[items.words[k]] = False
-            own = own[sums[high[own]] - sums[low[own]] >= PARAPHRASE * lengths[k]]
-            if not len(own):
-                continue
-            places, wanted = _places(items.words[k]), set(rarest[k])
-            for c in own.tolist():
-                seen = words[low[c] : high[c]].tolist()
-                share[c] = common_subsequence(places, int(lengths[k]), seen) / lengths[k]
-                answer[c] = len(wanted.intersection(seen)) / max(len(wanted), 1)
-        return share, answer
+    overlap = int(widths.max()) * 2
+    short = lengths < SHORT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member = np.zeros((len(lengths), len(weights)), np.uint8)  # 1: a word of the item, 17: one of its answer words
+        for k, words in enumerate(items.words):
+            member[k, words] = 1
+            member[k, rarest[k]] = 17
+        places: dict[int, tuple[dict[int, int], set[int]]] = {}
+
+        def close(words: np.ndarray, sums: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+            """Segment, item, cosine and stretch of the windows whose vector is close to an item of this width."""
+            segment, start = windows(begin, end, width)
+            stop = np.minimum(start + width, end[segment])
+            z = sums[first[stop]] - sums[first[start]]
+            norm = np.sqrt(np.einsum("ij,ij->i", z, z))
+            some = np.flatnonzero(norm > 1e-4)
+            own = of_width[width]
+            near = (z[some] / norm[some, None]) @ latent[own].T
+            w, k = np.nonzero(near >= CANDIDATE)
+            segment, start, stop, margin = segment[some[w]], start[some[w]], stop[some[w]], width // 4
+            return segment, own[k], near[w, k], np.maximum(start - margin, begin[segment]), np.minimum(stop + margin, end[segment])
+
+        def verified(words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Which candidates copy or paraphrase their item, and their shares. Counts of the item's words come first:
+            a stretch can't have more of them in order than it has at all."""
+            kept, share, answer = [], [], []
+            for at in range(0, len(item), 4096):
+                i, a, b = item[at : at + 4096], low[at : at + 4096], high[at : at + 4096]
+                place = a[:, None] + np.arange(int((b - a).max()))
+                is_own = member[i[:, None], np.where(place < b[:, None], words[np.minimum(place, len(words) - 1)], 0)]
+                n, rare = (is_own > 0).sum(1), (is_own > 16).sum(1)
+                most = n / lengths[i]
+                possible = np.where(short[i], most >= 1, (most >= COPY) | ((most >= PARAPHRASE) & (rare >= ANSWER * asked[i])))
+                for c in np.flatnonzero(possible).tolist():
+                    k = int(i[c])
+                    if k not in places:
+                        places[k] = _places(items.words[k]), set(rarest[k])
+                    bits, wanted = places[k]
+                    seen = words[a[c] : b[c]].tolist()
+                    s, r = common_subsequence(bits, int(lengths[k]), seen) / lengths[k], len(wanted.intersection(seen)) / asked[k]
+                    if s >= (1 if short[k] else COPY) or not short[k] and s >= PARAPHRASE and r >= ANSWER:
+                        kept.append(at + c)
+                        share.append(s)
+                        answer.append(r)
+            return np.array(kept, np.int64), np.array(share), np.array(answer)
+
         for batch in batches:
             every, bounds = _sequences(batch)
+            text, begin, end = segments(bounds, overlap)
             near: list[tuple] = []
-            for text, begin, end in zip(*(x.tolist() for x in segments(bounds, overlap)), strict=True):
-                words = every[begin:end]
-                if not (words > 0).any():
-                    continue
-                sums = np.concatenate([np.zeros((1, projected.shape[1]), np.float32), np.cumsum(projected[words], axis=0)])
-                for width in of_width:
-                    start, item, cosine = candidates(sums, len(words), width)
-                    if not len(item):
-                        continue
-                    margin = width // 4
-                    low, high = np.maximum(start - margin, 0), np.minimum(start + width + margin, len(words))
-                    share, answer = verified(words, low, high, item)
-                    short = lengths[item] < SHORT
-                    good = np.flatnonzero(np.where(short, share >= 1, (share >= COPY) | ((share >= PARAPHRASE) & (answer >= ANSWER))))
-                    if len(good):
-                        near.append((np.full(len(good), text), item[good], cosine[good], share[good], answer[good]))
+            at = 0
+            while at < len(text):  # segments of about SEGMENT words at a time
+                to = max(at + 1, int(np.searchsorted(end, begin[at] + SEGMENT, "right")))
+                low, high = int(begin[at]), int(end[at:to].max())
+                words = every[low:high]
+                known = np.flatnonzero(words > 0)
+                if len(known):
+                    first = np.concatenate([[0], np.cumsum(words > 0)])
+                    sums = np.zeros((len(known) + 1, projected.shape[1]), np.float32)
+                    np.cumsum(projected[words[known]], axis=0, out=sums[1:])
+                    for width in of_width:
+                        segment, item, cosine, a, b = close(words, sums, first, begin[at:to] - low, end[at:to] - low, width)
+                        good, share, answer = verified(words, item, a, b) if len(item) else (np.zeros(0, np.int64),) * 3
+                        if len(good):
+                            near.append((text[at + segment[good]], item[good], cosine[good], share, answer))
+                at = to
             if not near:
                 continue
-            t, k, c, s, a = (np.concatenate(x) for x in zip(*near, strict=True))
+            t, k, c, s, r = (np.concatenate(x) for x in zip(*near, strict=True))
             order = np.lexsort((-c, -s, k, t))
-            t, k, c, s, a = t[order], k[order], c[order], s[order], a[order]
+            t, k, c, s, r = t[order], k[order], c[order], s[order], r[order]
             best = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(t[best])), items.ids.take(pa.array(k[best])), pa.array(c[best].astype(float)), pa.array(s[best]), pa.array(a[best])], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(t[best])), items.ids.take(pa.array(k[best])), pa.array(c[best].astype(float)), pa.array(s[best]), pa.array(r[best])], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
     return run
 
