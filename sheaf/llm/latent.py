@@ -161,25 +161,29 @@ def singular_vectors(table: DataFrame, weights: np.ndarray, seed: int = 5) -> np
     names = [f"v{j}" for j in range(l)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((l, size))
+        total = np.zeros((size, l))
         own_weights = weights.astype(np.float32)
         weighted = omega * own_weights[:, None]
         for batch in batches:
             words, bounds = _sequences(batch)
             passage, n = _passages(bounds)
             known = np.flatnonzero(words > 0)
-            if not len(known):
-                continue
-            words, passage = words[known], passage[known]
-            starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-            own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-            square = np.add.reduceat(own_weights[words] ** 2, starts)
-            y = np.add.reduceat(weighted[words], starts, axis=0) / np.maximum(square, 1e-9)[:, None]
-            for j in range(l):
-                total[j] += np.bincount(words, weights=y[own, j], minlength=size)
-        total *= weights
-        k = np.flatnonzero(np.abs(total).sum(0))
-        yield pa.record_batch([pa.array(k.astype(np.int32)), *[pa.array(total[j, k]) for j in range(l)]], names=["k", *names])
+            every, passage = words[known], passage[known]
+            starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(known) else np.zeros(0, int)
+            for at in range(0, len(starts), 512):  # so many passages stay in the cache
+                cut = starts[at : at + 512]
+                words = every[cut[0] : starts[at + 512] if at + 512 < len(starts) else len(every)]
+                cut = cut - cut[0]
+                own = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(words))))
+                square = np.add.reduceat(own_weights[words] ** 2, cut)
+                y = np.add.reduceat(weighted[words], cut, axis=0) / np.maximum(square, 1e-9)[:, None]
+                by_word = np.argsort(words, kind="stable")
+                ordered = words[by_word]
+                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                total[ordered[first]] += np.add.reduceat(y[own[by_word]], first, axis=0)
+        total *= weights[:, None]
+        k = np.flatnonzero(np.abs(total).sum(1))
+        yield pa.record_batch([pa.array(k.astype(np.int32)), *[pa.array(total[k, j]) for j in range(l)]], names=["k", *names])
 
     summed = table.select("words").mapInArrow(run, "k int, " + ", ".join(f"{x} double" for x in names)).groupBy("k").agg(*[F.sum(x).alias(x) for x in names])
     product = np.zeros((size, l))
