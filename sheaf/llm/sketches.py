@@ -5,8 +5,10 @@ of the elements' exponential hashes: exponentially spaced, mergeable by maximum,
 Jaccard similarity. Documents with equal sets form one node. Bands of registers deal nodes to buckets. In each bucket
 every node is paired with one representative; a maximum-likelihood estimate from the counts of larger, smaller and equal
 registers discards pairs that are far off, the rest is verified on full sets, and verified links give components. This
-is repeated with other representatives for what lies apart. Then all pairs of a bucket that still lie in different components are verified in the join itself, so a link between nodes
-that share a bucket is never lost while linked copies cost one pair each; only links come out, never all pairs.
+is repeated with other representatives for what lies apart. Then all pairs of a bucket that still lie in different
+components are taken through the same two steps, in slices of bounded size and with large buckets dealt over several
+tasks: a link between nodes that share a bucket is never lost while linked copies cost one pair each. Pairs are two
+numbers; registers and sets join them by node and never travel by bucket.
 
 A pair at similarity 0.8 shares no bucket with probability of about 3e-6 (48 bands of 6 out of 192 registers).
 
@@ -25,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, release, small_batches, stored
+from .common import discard, release, small_batches, stored, unused
 from .repeats import _BASE, _C1, _C3, _blocks, _U, _long, keyed, mix, texts_of, word_symbols
 
 REGISTERS, BASE, BANDS, ROWS = 192, 1.02, 48, 6
 #: Similarity in hundredths at which two sets are linked.
 LINK = 80
-#: Rounds in which another node stands for each bucket, before the rest is compared pair by pair.
-TURNS = 2
+#: Rounds in which another node stands for each bucket, before the rest is compared pair by pair; members of a bucket
+#: that one task compares with all; pairs of a slice.
+TURNS, SALTED, SLICE_PAIRS = 2, 1000, 2e7
 #: Pairs whose estimate is below are not verified: over six standard errors under 0.8.
 DISCARD = 0.6
 #: Distinct texts up to which their keys are broadcast to fetch them; beyond, texts are shuffled.
@@ -129,8 +132,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             own = bounds[low : high + 1]
             sets = shingle_sets(raw[own[0] : own[-1]], own - own[0], size)
             items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            bands = pa.array([band_keys(registers(s)).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0).slice(low, high - low), items, bands], names=["node", "items", "bands"])
+            yield pa.record_batch([batch.column(0).slice(low, high - low), items], names=["node", "items"])
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,50 +221,58 @@ def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
     chosen = stored(members.join(weight, "x").groupBy("bucket").agg(F.max(F.struct("weight", "x")).alias("m")).select("bucket", F.col("m.x").alias("y")), "chosen")
     first_pairs = members.join(chosen, "bucket").where("x <> y").select("x", "y").distinct()
 
-    side = nodes.select(F.col("node").alias("x"), F.col("registers").alias("rx"), F.col("n").alias("nx"))
-    other = side.toDF("y", "ry", "ny")
-    sized = first_pairs.join(side, "x").join(other, "y").where(f"nx * 100 >= ny * {LINK} and ny * 100 >= nx * {LINK}")
-    pairs = stored(sized.select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(_estimated, "x long, y long"), "pairs")
-
-    wanted = members.select(F.col("x").alias("node")).distinct().join(nodes.select("node", "rk"), "node")
-    wanted = stored(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    full = stored(rows.select("rk", "text").join(wanted, "rk").select("node", "text").mapInArrow(partial(_full_sets, size=size), "node long, items array<long>, bands array<long>").dropDuplicates(["node"]), "sets")
+    wanted = stored(members.select(F.col("x").alias("node")).distinct(), "wanted")
+    side = stored(nodes.join(wanted, "node").select(F.col("node").alias("x"), F.col("registers").alias("rx"), F.col("n").alias("nx")), "registers")
+    keys = stored(nodes.join(wanted, "node").select("node", "rk"), "keys")
     discard(nodes)
     release(spark)
+    few_keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    full = stored(rows.select("rk", "text").join(few_keys, "rk").select("node", "text").mapInArrow(partial(_full_sets, size=size), "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    release(spark)
 
-    def verified(some: DataFrame) -> DataFrame:
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (x, y): estimated on registers, then verified on full sets."""
+        sized = pairs.join(side, "x").join(side.toDF("y", "ry", "ny"), "y").where(f"nx * 100 >= ny * {LINK} and ny * 100 >= nx * {LINK}")
+        near = stored(sized.select("x", "y", "rx", "ry", "nx", "ny").mapInArrow(_estimated, "x long, y long"), "pairs")
         one, two = full.select(F.col("node").alias("x"), F.col("items").alias("ix")), full.select(F.col("node").alias("y"), F.col("items").alias("iy"))
-        return some.join(one, "x").join(two, "y").where(linked("ix", "iy")).select("x", "y")
+        found = stored(near.join(one, "x").join(two, "y").where(linked("ix", "iy")).select("x", "y"), "links")
+        discard(near)
+        release(spark)
+        return found
 
     def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         """The labels after components that links connect have become one."""
+        if links.isEmpty():
+            return labels
         to = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
         joined = components(links.join(to[0], "x").join(to[1], "y").select(F.col("lx").alias("x"), F.col("ly").alias("y")))
         return stored(labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
-    labels = stored(members.select(F.col("x").alias("node"), F.col("x").alias("label")).distinct(), "labels")
-    labels = merged(labels, stored(verified(pairs), "links"))
-    for turn in range(TURNS + 1):
-        # nodes that share a bucket and are still apart
+    labels = stored(wanted.select("node", F.col("node").alias("label")), "labels")
+    labels = merged(labels, links_of(first_pairs))
+    for turn in range(TURNS):  # another node stands for a bucket: most of what is linked joins here, at one pair a node
         placed = members.select("bucket", F.col("x").alias("node")).join(labels, "node").select("bucket", "node", "label")
         some = F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("r")
         apart = stored(placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), some).where("a <> b").select("bucket", "r"), "apart")
-        if turn < TURNS:  # another node stands for the bucket: most of what is linked joins here, at one pair a node
-            links = verified(placed.join(apart, "bucket").where("label <> r.label").select(F.col("node").alias("x"), F.col("r.node").alias("y")).distinct())
-        else:  # the rest: every pair of different components, in whole
-            open_ = placed.join(apart.select("bucket"), "bucket", "left_semi").join(full, "node").select("bucket", "node", "label", "items", "bands")
-            left, right = open_.toDF("bucket", "x", "lx", "ix", "bx"), open_.toDF("bucket_y", "y", "ly", "iy", "by")
-            near = (F.col("bucket") == F.col("bucket_y")) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly"))
-            # a pair is verified in the first bucket that it shares
-            earlier = (F.array_position("bx", F.col("bucket")) - 1).cast("int")
-            first = ~F.arrays_overlap(F.slice("bx", F.lit(1), earlier), F.slice("by", F.lit(1), earlier))
-            links = left.join(right, near & first & linked("ix", "iy")).select("x", "y")
-        links = stored(links, "links")
-        if not links.isEmpty():
-            labels = merged(labels, links)
-    final = labels
+        pairs = placed.join(apart, "bucket").where("label <> r.label").select(F.col("node").alias("x"), F.col("r.node").alias("y"))
+        labels = merged(labels, links_of(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()))
+    # the rest: every pair of different components, in whole
+    placed = members.select("bucket", F.col("x").alias("node")).join(labels, "node").select("bucket", "node", "label")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    sizes = stored(sizes.select("bucket", "m", F.ceil(F.col("m") / SALTED).cast("int").alias("salts")), "sizes")
+    left_over = stored(placed.join(sizes.select("bucket", "salts"), "bucket"), "open")
+    release(spark)
+    slices = max(1, int(-(-(sizes.agg(F.sum(F.pow("m", F.lit(2.0)) / 2)).first()[0] or 0) // SLICE_PAIRS)))
+    found: DataFrame | None = None
+    for k in range(slices):
+        own = left_over.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(slices)) == k)
+        left = own.select("bucket", F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("x"), F.col("label").alias("lx"))
+        right = left_over.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("label").alias("ly"))
+        links = links_of(left.join(right, ["bucket", "salt"]).where("x < y and lx <> ly").select("x", "y").distinct())
+        found = links if found is None else found.unionByName(links)
+    final = merged(labels, found)
+    for table in (full, side, keys, left_over):
+        discard(table)
     return few.join(final, "node", "left").select("doc_id", "rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
 
 
@@ -275,15 +285,27 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, size: int) -> DataFrame:
-    """The rows of docs, all columns, that stay when one of each class does: the smallest id (then the smaller key of
-    the text, then any of identical rows); rows without words all stay."""
+    """The rows of docs, all columns, that stay when one of each class does: the smallest id (a null id only where no
+    other is, then the smaller key of the text, then any of identical rows); rows without words, null texts included,
+    all stay; columns of docs may have any names."""
     near = stored(near_duplicates(docs, size), "near")
     first = near.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rk"))).alias("m"))
-    stay = first.select(F.col("m.rk").alias("_rk"), F.lit(True).alias("_one")).unionByName(near.where("label is null").select(F.col("rk").alias("_rk"), F.lit(False).alias("_one")).distinct())
+    copied = near.where("label is not null").groupBy("rk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rk", F.lit(True).alias("copied"))
+    key, many, place = (unused(docs, c) for c in ("_rk", "_many", "_place"))
+    stay = first.select("m.rk").join(copied, "rk", "left").select(F.col("rk").alias(key), F.coalesce("copied", F.lit(False)).alias(many))
+    stay = stay.unionByName(near.where("label is null").select(F.col("rk").alias(key), F.lit(False).alias(many)).distinct())
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_rk", F.xxhash64(F.col("doc_id").cast("long"), text)).join(stay, "_rk")
-    place = F.row_number().over(Window.partitionBy("_rk").orderBy("_one"))
-    return rows.withColumn("_k", place).where("not _one or _k = 1").select(*docs.columns)
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text)).join(stay, key)
+    # only rows of equal id and text are ranked; a hot row is cut down to its distinct copies before they meet
+    ranked = rows.where(F.col(many))
+    ranked = ranked.dropDuplicates(docs.columns) if _comparable(docs) else ranked
+    single = ranked.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(place) == 1)
+    return rows.where(~F.col(many)).select(*docs.columns).unionByName(single.select(*docs.columns))
+
+
+def _comparable(docs: DataFrame) -> bool:
+    """Whether whole rows can be compared: maps can't."""
+    return "map<" not in docs.schema.simpleString() and "variant" not in docs.schema.simpleString()
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
