@@ -5,10 +5,10 @@ of the elements' exponential hashes: exponentially spaced, mergeable by maximum,
 Jaccard similarity. Documents with equal sets form one node. Bands of registers deal nodes to buckets. In each bucket
 every node is paired with one representative; a maximum-likelihood estimate from the counts of larger, smaller and equal
 registers discards pairs that are far off, the rest is verified on full sets, and verified links give components. This
-is repeated with other representatives for what lies apart. Then all pairs of a bucket that still lie in different
-components are taken through the same two steps, in slices of bounded size and with large buckets dealt over several
-tasks: a link between nodes that share a bucket is never lost while linked copies cost one pair each. Pairs are two
-numbers; registers and sets join them by node and never travel by bucket.
+is repeated with other representatives for what lies apart. Then the members of a bucket that still lie in different
+components are compared block by block, through the same two steps; only links come out. Buckets of two members, and
+all but one of the buckets that have the same members, are left out there, since their pairs are compared elsewhere.
+So a link between nodes that share a bucket is never lost, while linked copies cost one pair each.
 
 A pair at similarity 0.8 shares no bucket with probability of about 3e-6 (48 bands of 6 out of 192 registers).
 
@@ -33,11 +33,11 @@ from .repeats import _BASE, _C1, _C3, _blocks, _U, _long, keyed, mix, texts_of,
 REGISTERS, BASE, BANDS, ROWS = 192, 1.02, 48, 6
 #: Similarity in hundredths at which two sets are linked.
 LINK = 80
-#: Rounds in which another node stands for each bucket, before the rest is compared pair by pair; members of a bucket
-#: that one task compares with all; pairs of a slice.
-TURNS, SALTED, SLICE_PAIRS = 2, 1000, 2e7
-#: Pairs whose estimate is below are not verified: over six standard errors under 0.8.
-DISCARD = 0.6
+#: Rounds in which another node stands for each bucket, before the rest is compared in blocks; members and shingles of
+#: a block that one task holds while the bucket's members pass by.
+TURNS, BLOCK_NODES, BLOCK_ITEMS = 2, 1000, 1_000_000
+#: Pairs whose estimate is below are not verified: nearly five standard errors under 0.8.
+DISCARD = 0.66
 #: Distinct texts up to which their keys are broadcast to fetch them; beyond, texts are shuffled.
 BROADCAST_ROWS = 300_000
 _random = np.random.default_rng(1729)
@@ -144,6 +144,80 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("x").take(pa.array(keep)), batch.column("y").take(pa.array(keep))], names=["x", "y"])
 
 
+class _Block:
+    """Members of one bucket: nodes, components, sizes, registers and sets."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if batch.num_rows:
+            numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n")]
+            own = np.frombuffer(texts_of(batch.column("registers"))[0].tobytes(), np.uint16).reshape(-1, REGISTERS)
+            items = batch.column("items")
+            ends = items.offsets.to_numpy()
+            values = items.values.to_numpy(zero_copy_only=False).view(_U)  # sorted as such
+            self.parts.append((*numbers, own, [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]))
+
+    def all(self) -> tuple:
+        return (*(np.concatenate(x) for x in list(zip(*self.parts, strict=True))[:4]), [s for p in self.parts for s in p[4]])
+
+
+def _met(one: tuple, two: tuple, joined: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Links between members of two blocks, smaller node first; one for each pair of components is enough."""
+    node, label, n, own, sets = one
+    for at in range(0, len(two[0]), 32):
+        y, ly, ny, other, others = (x[at : at + 32] for x in two)
+        open_ = (node[:, None] < y[None]) & (label[:, None] != ly[None]) & (n[:, None] * 100 >= ny[None] * LINK) & (ny[None] * 100 >= n[:, None] * LINK)
+        i, j = np.nonzero(open_)
+        for low in range(0, len(i), 4096):
+            a, b = i[low : low + 4096], j[low : low + 4096]
+            x, z = own[a], other[b]
+            near = np.flatnonzero(likely((x > z).sum(1), (x < z).sum(1), n[a].astype(float), ny[b].astype(float)) >= DISCARD)
+            for k in near.tolist():
+                p, q = int(a[k]), int(b[k])
+                ends = (min(label[p], ly[q]), max(label[p], ly[q]))
+                if ends in joined:
+                    continue
+                small, large = sorted((sets[p], others[q]), key=len)
+                place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[place] == small).sum())
+                if both * 100 >= (len(small) + len(large) - both) * LINK:
+                    joined.add(ends)
+                    yield int(node[p]), int(y[q])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the groups (bucket, block), whose rows come together, those of the block itself before all others of the
+    bucket; a block without others is the whole bucket."""
+    key, block, own, alone, joined = None, _Block(), None, True, set()
+
+    def finished() -> list[tuple[int, int]]:
+        return list(_met(mine := block.all(), mine, joined)) if block.parts and alone else []
+
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "block", "side")], 1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+            if tuple(keys[a, :2]) != key:
+                found += finished()
+                key, block, own, alone, joined = tuple(keys[a, :2]), _Block(), None, True, set()
+            if keys[a, 2] == 0:
+                block.add(batch.slice(a, b - a))
+            elif block.parts:
+                own, alone = own or block.all(), False
+                passing = _Block()
+                passing.add(batch.slice(a, b - a))
+                found += _met(own, passing.all(), joined)
+        if found:
+            yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["x", "y"])
+    if found := finished():
+        yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["x", "y"])
+
+
 def linked(x: str, y: str):
     """Whether two arrays of distinct items reach the similarity, in whole numbers."""
     both, all_ = F.size(F.array_intersect(x, y)).cast("long"), (F.size(x) + F.size(y)).cast("long")
@@ -256,19 +330,28 @@ def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
         apart = stored(placed.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), some).where("a <> b").select("bucket", "r"), "apart")
         pairs = placed.join(apart, "bucket").where("label <> r.label").select(F.col("node").alias("x"), F.col("r.node").alias("y"))
         labels = merged(labels, links_of(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()))
-    # the rest: every pair of different components, in whole
-    placed = members.select("bucket", F.col("x").alias("node")).join(labels, "node").select("bucket", "node", "label")
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-    sizes = stored(sizes.select("bucket", "m", F.ceil(F.col("m") / SALTED).cast("int").alias("salts")), "sizes")
-    left_over = stored(placed.join(sizes.select("bucket", "salts"), "bucket"), "open")
+    # the rest: every pair of different components, in whole; pairs of a bucket of two met in the first round
+    weighed = labels.join(side.select(F.col("x").alias("node"), F.col("nx").alias("n")), "node")
+    placed = members.select("bucket", F.col("x").alias("node")).join(weighed, "node").select("bucket", "node", "label", "n")
+    sets_of = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"), F.min("label").alias("a"), F.max("label").alias("b"), *sets_of).where("a <> b and m > 2")
+    sizes = sizes.groupBy("h1", "h2", "m", "items").agg(F.min("bucket").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
+    sizes = stored(sizes.select("bucket", "items", blocks.alias("blocks")), "sizes")
+    left_over = stored(placed.join(sizes.select("bucket", "blocks"), "bucket"), "open")
     release(spark)
-    slices = max(1, int(-(-(sizes.agg(F.sum(F.pow("m", F.lit(2.0)) / 2)).first()[0] or 0) // SLICE_PAIRS)))
+    # a slice ships no more shingles than all documents have
+    shipped = sizes.agg(F.sum(F.col("items") * F.when(F.col("blocks") > 1, F.col("blocks") + 1).otherwise(1))).first()[0] or 0
+    slices = max(1, -(-shipped // max(few.agg(F.sum("n_shingles")).first()[0] or 1, BLOCK_ITEMS)))
     found: DataFrame | None = None
+    whole = side.select(F.col("x").alias("node"), F.col("rx").alias("registers")).join(full, "node")
     for k in range(slices):
-        own = left_over.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(slices)) == k)
-        left = own.select("bucket", F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("x"), F.col("label").alias("lx"))
-        right = left_over.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("label").alias("ly"))
-        links = links_of(left.join(right, ["bucket", "salt"]).where("x < y and lx <> ly").select("x", "y").distinct())
+        some = left_over if slices == 1 else left_over.where(F.pmod(F.xxhash64("bucket"), F.lit(slices)) == k)
+        own = some.select("bucket", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "node", "label", "n")
+        others = some.where("blocks > 1").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node", "label", "n")
+        rows_ = own.unionByName(others).join(whole, "node").select("bucket", "block", "side", "node", "label", "n", "registers", "items")
+        links = stored(rows_.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side").mapInArrow(_compared, "x long, y long"), "links")
+        release(spark)
         found = links if found is None else found.unionByName(links)
     final = merged(labels, found)
     for table in (full, side, keys, left_over):
