@@ -2,13 +2,12 @@
 
 Each text becomes a vector of statistics (counts by kind of character, word and line figures), transformed to be close
 to normal. Per class the count, mean and covariance follow from sums that are added up in a distributed aggregate, so
-all labelled rows take part. Covariances shrink towards the pooled covariance and that towards a scaled identity;
-their Cholesky factors are computed once on the driver (a few KB) and the score of a row is the logistic of the
+all labelled rows take part. Covariances shrink towards the pooled covariance and get a share of its diagonal; their Cholesky factors are computed once on the driver (a few KB) and the score of a row is the logistic of the
 difference of the two log densities plus the log prior odds.
 
 Defined cases: a null text counts as empty; an empty text has the statistics of no words and gets a score like any
 other; null doc_id is never a training row; several labels of one document each count; labels other than 0 and 1 are
-ignored; without training rows of both classes there is nothing to reject and every score is 1.
+ignored; where all training rows are of one class every score is that class (0 or 1), and without training rows 1.
 """
 
 from __future__ import annotations
@@ -81,7 +80,17 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
-def fit(rows: DataFrame, shrink: float = 0.2, ridge: float = 0.02) -> Discriminant | None:
+@dataclass(frozen=True)
+class Constant:
+    """What is left to say where there are no two classes."""
+
+    value: float
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.value)
+
+
+def fit(rows: DataFrame, shrink: float = 0.2, ridge: float = 0.02) -> Discriminant | Constant:
     """From rows (label, x): all of them, through one distributed sum."""
     d = len(NAMES)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
@@ -105,7 +114,7 @@ def fit(rows: DataFrame, shrink: float = 0.2, ridge: float = 0.02) -> Discrimina
         sums[r["c"], r["k"]] = r["v"]
     n = sums[:, 0]
     if (n == 0).any():
-        return None
+        return Constant(0.0 if n[0] else 1.0)
     means = sums[:, 1 : d + 1] / n[:, None]
     own = np.zeros((2, d, d))
     for k, (i, j) in enumerate(pairs):
@@ -122,14 +131,13 @@ def fit(rows: DataFrame, shrink: float = 0.2, ridge: float = 0.02) -> Discrimina
     return Discriminant(means, np.array(factors), np.array(constants))
 
 
-def scored(table: DataFrame, model: Discriminant | None) -> DataFrame:
+def scored(table: DataFrame, model: Discriminant | Constant) -> DataFrame:
     """(doc_id, score) of a table of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
-            score = np.ones(len(x)) if model is None else model.score(x)
-            yield pa.record_batch([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
     return table.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
@@ -138,18 +146,17 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def trained(table: DataFrame, labels: DataFrame) -> Discriminant | None:
+def trained(table: DataFrame, labels: DataFrame) -> Discriminant | Constant:
     """From a table of features and the labels of rows that are not held out."""
     marks = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
     return fit(table.where(~held_out()).join(marks, "doc_id"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold: scored where they are, without a join."""
+    """The rows of docs, all columns, whose score reaches the threshold: scored where they are, without a join. Null and
+    empty texts are scored as texts without words; repeated rows stay or go together."""
     small_batches(docs.sparkSession)
     model, at = trained(features(docs), labels), docs.columns.index("text")
-    if model is None:
-        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
