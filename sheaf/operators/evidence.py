@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import normalize_for_match
+from sheaf.sources.scratch import stored
 
 #: Characters of quotes that a task holds at once.
 MAX_CHARS = 32 << 20
@@ -69,6 +70,7 @@ def _on_page(page: str = "page") -> F.Column:
 def resolve(evidence: DataFrame, chunks: DataFrame, page_fallback: bool = True, unicode: bool = True) -> DataFrame:
     """(qid, ev_ord, anchor, quote_status, chunk_ids)."""
     c = chunks.select("chunk_id", "doc_id", *[F.col(x).alias(f"c_{x}") for x in ("page", "page_start", "page_end", "section_path", "chunk_ord", "char_start")], "text", normalize_for_match(F.coalesce("text", F.lit("")), unicode).alias("norm"))
+    c = stored(c, "chunks")  # read by each anchor
     e = evidence.withColumn("needle", normalize_for_match(F.coalesce("quote", F.lit("")), unicode)).withColumn("sect", normalize_for_match(F.coalesce("section_path", F.lit("")), unicode))
     anchor = F.when(F.coalesce("quote", F.lit("")) != "", "quote").when(F.col("page").isNotNull(), "page").when(F.coalesce("section_path", F.lit("")) != "", "section_path")
     e = e.withColumn("anchor", anchor)

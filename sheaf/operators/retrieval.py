@@ -7,10 +7,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import let, nfkc, strip, token_ngrams
+from sheaf.sources.scratch import stored
 
 from .vectors import ranked, vector_topk
 
@@ -79,57 +81,88 @@ def bm25_scores(queries: DataFrame, tf: DataFrame, idf: DataFrame, n: int = 2, k
     return met.groupBy("qid", "q_ord", "chunk_id", "corpus_ord").agg(F.sum(weight).alias("score"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, n: int = 2, k1: float = K1, b: float = B, unicode: bool = True) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms of each row with their counts, in order of the terms."""
+    for batch in batches:
+        terms = batch.column("terms")
+        flat, bounds = terms.values.to_numpy(zero_copy_only=False), terms.offsets.to_numpy()
+        flat, bounds = flat[bounds[0] : bounds[-1]], bounds - bounds[0]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        order = np.lexsort((flat, row))
+        flat, row = flat[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])) if len(flat) else np.zeros(0, int)
+        counts = np.diff(np.append(first, len(flat))).astype(np.int32)
+        ends = pa.array(np.searchsorted(row[first], np.arange(batch.num_rows + 1)).astype(np.int32))
+        columns = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat[first], counts)]
+        yield pa.record_batch([batch.column("chunk_id"), batch.column("corpus_ord"), pa.array(np.diff(bounds).astype(np.int32)), *columns], names=["chunk_id", "corpus_ord", "dl", "terms", "tfs"])
+
+
+def indexed(chunks: DataFrame, n: int = 2, unicode: bool = True) -> DataFrame:
+    """(chunk_id, corpus_ord, dl, terms, tfs): the postings of each chunk in one row, written once. A term is the 64-bit
+    hash of its n-gram; they are counted where they are cut, so that no table of terms is shuffled."""
+    tokens = let(token_ngrams(F.coalesce("text", F.lit("")), n, unicode), lambda t: F.when(F.size(t) == 0, F.array(F.lit(EMPTY))).otherwise(t))
+    hashed = chunks.repartition("chunk_id").select("chunk_id", "corpus_ord", F.transform(tokens, lambda t: F.xxhash64(t)).alias("terms"))
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "corpus_ord")}
+    return stored(hashed.mapInArrow(_counted, f"chunk_id {kinds['chunk_id']}, corpus_ord {kinds['corpus_ord']}, dl int, terms array<long>, tfs array<int>"), "postings")
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, n: int = 2, k1: float = K1, b: float = B, unicode: bool = True, index: DataFrame | None = None) -> DataFrame:
     """R2: the k best chunks of each question that has a token; chunks without a common term score 0 and so fill up in
-    corpus order. The query side becomes a matrix of term weights (in blocks of checked size); each chunk brings its
-    terms once and is scored against all queries at a time, and only k chunks a question leave a batch."""
-    tf, idf = postings(chunks, n, unicode)
+    corpus order. The postings are written once (or given, as `indexed` returns them). The query side becomes matrices of
+    term weights, a block of questions of bounded size each; every chunk is scored against a block at a time, and only k
+    chunks a question leave a batch."""
+    index = indexed(chunks, n, unicode) if index is None else index
+    n_docs, total = index.agg(F.count(F.lit(1)), F.sum("dl")).first()
+    average = (total or 0) / max(n_docs, 1)
+    df = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_"))
+    raw = stored(df.select("term", (F.log(F.lit(n_docs) - F.col("df_") + F.lit(0.5)) - F.log(F.col("df_") + F.lit(0.5))).alias("raw")), "frequencies")
+    floor = (raw.agg(F.avg("raw")).first()[0] or 0.0) * EPSILON
     tokens = F.explode(token_ngrams(F.coalesce("text", F.lit("")), n, unicode))
-    asked = queries.select("qid", "q_ord", tokens.alias("term")).groupBy("qid", "q_ord", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    entries = asked.join(idf, "term", "left").select("qid", "q_ord", "term", (F.col("qtf") * F.coalesce("idf", F.lit(0.0))).alias("w")).toPandas()
-    average = tf.select("chunk_id", "dl").distinct().agg(F.avg("dl")).first()[0]
+    asked = queries.select("qid", "q_ord", tokens.alias("t")).groupBy("qid", "q_ord", F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("qtf"))
+    idf = F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.coalesce("raw", F.lit(0.0)))
+    entries = stored(asked.join(raw, "term", "left").select("qid", "q_ord", "term", (F.col("qtf") * idf * (k1 + 1)).alias("w")), "questions")
+    n_terms, n_columns = entries.agg(F.count_distinct("term"), F.count_distinct("qid", "q_ord")).first()
+    blocks = max(1, -(-8 * n_terms * n_columns // MATRIX_BYTES))
     qid = queries.schema["qid"].dataType.simpleString()
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "corpus_ord")}
     found: DataFrame | None = None
-    questions = sorted(entries["qid"].unique()) if len(entries) else []
-    per_block = max(1, int(MATRIX_BYTES // (8 * max(1, entries["term"].nunique() * max(1, len(entries[["qid", "q_ord"]].drop_duplicates()) // max(1, len(questions)))))))
-    for at in range(0, max(len(questions), 1), per_block):
-        block = entries[entries["qid"].isin(questions[at : at + per_block])].sort_values(["qid", "q_ord"], kind="stable")
-        terms = sorted(block["term"].unique())
-        number = {t: i for i, t in enumerate(terms)}
+    for at in range(blocks):
+        block = entries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == at).toPandas().sort_values(["qid", "q_ord"], kind="stable")
+        terms, number = np.unique(block["term"].to_numpy(np.int64), return_inverse=True)
         columns = block[["qid", "q_ord"]].drop_duplicates()
-        place = {(r.qid, r.q_ord): i for i, r in enumerate(columns.itertuples())}
-        matrix = np.zeros((len(terms) + 1, len(columns)))  # the last row is for chunks without a common term
-        for r in block.itertuples():
-            matrix[number[r.term], place[(r.qid, r.q_ord)]] = r.w * (k1 + 1)
+        place = block.groupby(["qid", "q_ord"], sort=False).ngroup().to_numpy()
+        matrix = np.zeros((len(terms) + 1, len(columns)))  # the last row is for terms that no question has
+        matrix[number, place] = block["w"].to_numpy()
         names = columns["qid"].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
+        part = index.mapInPandas(_scored(terms, matrix, starts, names[starts], average, k, k1, b), f"qid {qid}, chunk_id {kinds['chunk_id']}, corpus_ord {kinds['corpus_ord']}, score double")
+        found = part if found is None else found.unionByName(part)
+    return stored(ranked(found, k), "hits").withColumn("provenance", F.create_map(F.lit("bm25"), "score"))
 
-        def run(batches: Iterator[pd.DataFrame], matrix: np.ndarray = matrix, starts: np.ndarray = starts, own: np.ndarray = names[starts]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch) or not len(own):
-                    continue
+
+def _scored(terms: np.ndarray, matrix: np.ndarray, starts: np.ndarray, own: np.ndarray, average: float, k: int, k1: float, b: float):
+    """The k best chunks of a batch for each question of a block; of several queries of a question the best counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for every in batches:
+            for low in range(0, len(every) if len(own) else 0, 512):
+                batch = every.iloc[low : low + 512]
                 sizes = np.array([len(x) for x in batch["terms"]])
-                ids = np.concatenate([x if len(x) else [len(matrix) - 1] for x in batch["terms"]]).astype(int)
-                counts = np.concatenate([x if len(x) else [0] for x in batch["tfs"]]).astype(float)
-                row = np.repeat(np.arange(len(batch)), np.maximum(sizes, 1))
+                flat, counts = np.concatenate(list(batch["terms"])), np.concatenate(list(batch["tfs"])).astype(float)
+                at = np.minimum(np.searchsorted(terms, flat), max(len(terms) - 1, 0))
+                row = np.repeat(np.arange(len(batch)), sizes)
+                known = np.flatnonzero(terms[at] == flat)
                 norm = k1 * (1 - b + b * batch["dl"].to_numpy(float) / average)
-                part = counts / (counts + norm[row])
-                first = np.concatenate([[0], np.cumsum(np.maximum(sizes, 1))[:-1]])
-                scores = np.concatenate([np.add.reduceat(matrix[ids, c : c + 64] * part[:, None], first, axis=0) for c in range(0, matrix.shape[1], 64)], axis=1)
-                best = np.maximum.reduceat(scores, starts, axis=1).T
+                part = counts[known] / (counts[known] + norm[row[known]])
+                weight = np.zeros((len(batch), len(matrix)))
+                weight[row[known], at[known]] = part
+                best = np.maximum.reduceat(weight @ matrix, starts, axis=1).T
                 order = batch["corpus_ord"].to_numpy()
                 top = np.stack([np.lexsort((order, -x))[:k] for x in best])
                 q, chunk = np.repeat(np.arange(len(own)), top.shape[1]), top.ravel()
                 yield pd.DataFrame({"qid": own[q], "chunk_id": batch["chunk_id"].to_numpy()[chunk], "corpus_ord": order[chunk], "score": best[q, chunk]})
 
-        listed = chunks.sparkSession.createDataFrame(pd.DataFrame({"term": terms, "t": range(len(terms))}) if terms else [], "term string, t int")
-        met = tf.join(F.broadcast(listed), "term", "left")
-        pairs = F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "tf"))))
-        rows = met.groupBy("chunk_id", "corpus_ord", "dl").agg(pairs.alias("p")).select("chunk_id", "corpus_ord", "dl", F.col("p.t").alias("terms"), F.col("p.tf").alias("tfs"))
-        kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "corpus_ord")}
-        part = rows.mapInPandas(run, f"qid {qid}, chunk_id {kinds['chunk_id']}, corpus_ord {kinds['corpus_ord']}, score double")
-        found = part if found is None else found.unionByName(part)
-    return ranked(found, k).withColumn("provenance", F.create_map(F.lit("bm25"), "score"))
+    return run
 
 
 def fuse(children: Sequence[tuple[str, DataFrame]], k: int = 5, weights: Sequence[float] | None = None, rrf_k: float = RRF_K) -> DataFrame:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sheaf.functions.text import hashing_grams
+from sheaf.sources.scratch import stored
 
 #: Prefixes that model families expect.
 PREFIXES = {"e5": ("query: ", "passage: "), "bge": ("Represent this sentence for searching relevant passages: ", ""), "none": ("", "")}
@@ -26,32 +26,32 @@ def _slot(gram: str, dim: int) -> tuple[int, int]:
     return int.from_bytes(digest[:4], "big") % dim, 1 if digest[4] & 1 else -1
 
 
-@F.pandas_udf(StructType([StructField("slot", IntegerType()), StructField("sign", IntegerType())]))
-def _slots(grams: pd.Series, dims: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_slot(g, d) for g, d in zip(grams, dims, strict=True)], columns=["slot", "sign"])
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists of 32-bit numbers."""
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(matrix, np.float32).ravel()))
 
 
 def hashing_embedding(rows: DataFrame, id_column: str, dim: int = 256, n: int = 2, normalize: bool = True) -> DataFrame:
-    """(id, vec). Grams are counted first, and each distinct gram is hashed once."""
-    counted = rows.select(F.col(id_column), F.explode(hashing_grams(F.coalesce("text", F.lit("")), n)).alias("gram")).groupBy(id_column, "gram").agg(F.count(F.lit(1)).alias("n"))
-    grams = counted.select("gram").distinct().select("gram", _slots("gram", F.lit(dim)).alias("h")).select("gram", "h.slot", "h.sign")
-    sparse = counted.join(grams, "gram").groupBy(id_column, "slot").agg(F.sum(F.col("n") * F.col("sign")).cast("double").alias("v"))
-    entries = sparse.groupBy(id_column).agg(F.collect_list(F.struct("slot", "v")).alias("e"))
+    """(id, vec). White space goes in the JVM; grams are counted and hashed where the row is, each distinct gram of
+    a batch once, so nothing is shuffled."""
     kind = rows.schema[id_column].dataType.simpleString()
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "")
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, dim))
-            for row, own in zip(out, batch.column(1).to_pylist(), strict=True):
-                for x in own or ():
-                    row[x["slot"]] = x["v"]
+            out, slots = np.zeros((batch.num_rows, dim)), {}
+            for row, text in zip(out, batch.column(1).to_pylist(), strict=True):
+                for gram, count in Counter(map("".join, zip(*(text[k:] for k in range(n)), strict=False))).items():
+                    if (slot := slots.get(gram)) is None:
+                        slot = slots[gram] = _slot(gram, dim)
+                    row[slot[0]] += slot[1] * count
             if normalize:
                 norm = np.linalg.norm(out, axis=1, keepdims=True)
                 out /= np.where(norm > 0, norm, 1.0)
-            yield pa.record_batch([batch.column(0), pa.array(list(out.astype(np.float32)), pa.list_(pa.float32()))], names=["id", "vec"])
+            yield pa.record_batch([batch.column(0), _lists(out)], names=["id", "vec"])
 
-    every = rows.select(id_column).join(entries, id_column, "left")
-    return every.mapInArrow(dense, f"id {kind}, vec array<float>").withColumnRenamed("id", id_column)
+    return rows.select(id_column, flat.alias("_flat")).mapInArrow(dense, f"id {kind}, vec array<float>").withColumnRenamed("id", id_column)
 
 
 def prefix_style(model: str) -> str:
@@ -88,30 +88,32 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame
     """V1: (qid, rank, chunk_id, score). queries (qid, vec); vectors (chunk_id, corpus_ord, vec), both of unit length.
 
     Each task multiplies its vectors with a block of queries and keeps k per query; only those meet in the ranking.
-    Ties go to the smaller corpus_ord.
+    Blocks are of bounded size, and the driver holds one at a time. Ties go to the smaller corpus_ord.
     """
-    rows = queries.select("qid", F.col("vec").cast("array<double>")).toPandas()
+    kind = to_arrow_type(queries.schema["qid"].dataType)
+    asked = stored(queries.select("qid", F.col("vec").cast("array<double>").alias("vec")), "queries")
     qid, chunk, order = queries.schema["qid"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString(), vectors.schema["corpus_ord"].dataType.simpleString()
     best = f"qid {qid}, chunk_id {chunk}, corpus_ord {order}, score double"
     found: DataFrame | None = None
-    per_block = max(1, QUERY_BYTES // (8 * max(1, len(rows["vec"].iloc[0]) if len(rows) else 1)))
-    for at in range(0, max(len(rows), 1), per_block):
-        block = rows.iloc[at : at + per_block]
+    numbers = asked.agg(F.sum(F.size("vec"))).first()[0] or 0
+    blocks = max(1, -(-8 * numbers // QUERY_BYTES))
+    for at in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("qid", "vec"), F.lit(blocks)) == at).toPandas()
         matrix = np.stack(block["vec"].to_list()) if len(block) else np.zeros((0, 1))
         ids = block["qid"].to_numpy()
 
-        def run(batches: Iterator[pd.DataFrame], matrix: np.ndarray = matrix, ids: np.ndarray = ids) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, ids: np.ndarray = ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not len(batch) or not len(ids):
+                if not batch.num_rows or not len(ids):
                     continue
-                scores = matrix @ np.stack(batch["vec"].to_list()).T
-                place = batch["corpus_ord"].to_numpy()
-                top = np.stack([np.lexsort((place, -s))[:k] for s in scores])
-                row = np.repeat(np.arange(len(ids)), top.shape[1])
-                own = top.ravel()
-                yield pd.DataFrame({"qid": ids[row], "chunk_id": batch["chunk_id"].to_numpy()[own], "corpus_ord": place[own], "score": scores[row, own]})
-
-        part = vectors.select("chunk_id", "corpus_ord", F.col("vec").cast("array<double>")).mapInPandas(run, best)
+                own = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                scores = matrix @ own.T
+                by_place = np.argsort(batch.column("corpus_ord").to_numpy(zero_copy_only=False), kind="stable")
+                top = by_place[np.argsort(-scores[:, by_place], axis=1, kind="stable")[:, :k]]
+                row, place = np.repeat(np.arange(len(ids)), top.shape[1]), pa.array(top.ravel())
+                yield pa.record_batch([pa.array(ids[row], kind), batch.column("chunk_id").take(place), batch.column("corpus_ord").take(place), pa.array(scores[row, top.ravel()])], names=["qid", "chunk_id", "corpus_ord", "score"])
+
+        part = vectors.select("chunk_id", "corpus_ord", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, best)
         found = part if found is None else found.unionByName(part)
     return ranked(found, k)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.text import tokens
 from sheaf.operators import answers, chunking, contexts, retrieval, vectors
-from sheaf.sources import files
+from sheaf.sources import files, scratch
 
 from . import config, registry
 
@@ -186,30 +186,33 @@ def build_index(spark: SparkSession, raw: Mapping[str, Any], docs: DataFrame | N
     docs = registry.build("loader", own["loader"])(spark, raw["corpus"]) if docs is None else docs
     chunks = registry.build("chunker", own["chunker"])(docs)
     chunks = chunks.withColumn("corpus_ord", F.col("chunk_id"))  # files are read in the order of their names
+    chunks = scratch.stored(chunks, "chunks") if place is None else chunks
     embedded = registry.build("embedder", own["embedder"])(chunks.select("chunk_id", "text"), "chunk_id")
-    tables = {"chunks": chunks, "vectors": embedded.join(chunks.select("chunk_id", "corpus_ord"), "chunk_id")}
+    # the order in the corpus is the chunk's name: no join
+    tables = {"chunks": chunks, "vectors": embedded.withColumn("corpus_ord", F.col("chunk_id"))}
     if place:
         files.save_artifact(place, tables, signature)
         return files.load_artifact(spark, place, signature)
-    return tables
+    return tables | {"vectors": scratch.stored(tables["vectors"], "vectors")}
 
 
 def answer(index: Mapping[str, DataFrame], questions: DataFrame, raw: Mapping[str, Any], trace: Trace | None = None) -> dict[str, DataFrame]:
-    """queries, hits, contexts, prompts and answers of a table of questions (qid, question); all lazy."""
+    """queries, hits, contexts, prompts and answers of a table of questions (qid, question). Hits, prompts and answers
+    are written as they are made, so each is computed once and the trace times the work itself."""
     own, trace = raw["query"], trace or Trace()
     embed = registry.build("embedder", raw["index"]["embedder"])
     with trace.stage("query_transform", own["query_transform"]["type"]):
         queries = retrieval.queries_of(questions, registry.build("query_transform", own["query_transform"])(F.col("question")))
     with trace.stage("retriever", own["retriever"]["type"]):
-        hits = registry.build("retriever", own["retriever"], index=index, embed=embed)(queries)
+        hits = scratch.stored(registry.build("retriever", own["retriever"], index=index, embed=embed)(queries), "hits")
     rows = contexts.from_hits(hits, index["chunks"])
     for spec in own.get("post_retrieval", []):
         with trace.stage("post_retrieval", spec["type"]):
             rows = registry.build("post_retrieval", spec)(rows)
     with trace.stage("prompt", own["prompt"]["type"]):
-        prompts = registry.build("prompt", own["prompt"])(questions, rows)
+        prompts = scratch.stored(registry.build("prompt", own["prompt"])(questions, rows), "prompts")
     with trace.stage("generator", own["generator"]["type"]):
-        said = registry.build("generator", own["generator"])(prompts)
+        said = scratch.stored(registry.build("generator", own["generator"])(prompts), "answers")
     for spec in own.get("post_generation", []):
         with trace.stage("post_generation", spec["type"]):
             said = registry.build("post_generation", spec)(said, prompts)
