@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,41 +38,62 @@ def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFra
     return _chunked(docs.withColumn("_pieces", F.filter(cut, lambda p: p["text"].rlike(r"(?U)\S"))), "_pieces")
 
 
+Span = tuple[int, int]
+
+
+def split_spans(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[Span]:
+    """C2's first half: the text cut at the coarsest separator that makes pieces of at most `size`, as places in it. A
+    piece keeps the separator that ends it; blank pieces are left out."""
+    out: list[Span] = []
+    todo = [(0, len(text), 0)]
+    while todo:
+        low, high, level = todo.pop()
+        if not text[low:high].strip():
+            continue
+        if high - low <= size or level == len(separators):
+            out.append((low, high))
+        elif not (mark := separators[level]):
+            todo += [(k, min(k + size, high), len(separators)) for k in reversed(range(low, high, size))]
+        else:
+            cuts = [low, *(m.end() for m in re.finditer(re.escape(mark), text[:high][low:])), high - low]
+            ends = [low + c for c in cuts[1:]]
+            todo += [(s, e, level + 1) for s, e in reversed(list(zip([low, *ends], ends, strict=False))) if s < e]
+    return out
+
+
+def _tail(spans: list[Span], n: int) -> list[Span]:
+    """The last n characters of what the spans hold."""
+    out: list[Span] = []
+    for low, high in reversed(spans):
+        if n <= 0:
+            break
+        out.insert(0, (max(low, high - n), high))
+        n -= high - low
+    return out
+
+
 def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[str, int]]:
-    """C2 and C3 for one text: (chunk, start). Pieces keep the separator that ends them; a chunk may exceed the size by
-    the overlap that it repeats."""
-
-    def split(part: str, level: int) -> Iterator[str]:
-        if len(part) <= size or level >= len(separators):
-            if part.strip():
-                yield part
-            return
-        mark = separators[level]
-        if not mark:
-            cuts = [part[i : i + size] for i in range(0, len(part), size)]
-            yield from (c for c in cuts if c.strip())
-            return
-        found = part.split(mark)
-        for i, own in enumerate(found):
-            own += mark if i + 1 < len(found) else ""
-            if own.strip():
-                yield from split(own, level + 1)
-
-    chunks, buffer = [], ""
-    for piece in split(text, 0):
-        if buffer and len(buffer) + len(piece) > size:
-            chunks.append(buffer)
-            buffer = (buffer[-overlap:] if overlap else "") + piece
+    """C2 and C3 for one text: (chunk, start). Places are carried along from the split; a chunk in which a blank piece is
+    missing is no stretch of the text and starts where the one before it, less the overlap, ends. A chunk may exceed the
+    size by the overlap that it repeats."""
+    groups: list[list[Span]] = []
+    held = 0
+    for low, high in split_spans(text, size, separators):
+        if not groups or held + high - low > size:
+            groups.append(_tail(groups[-1], overlap) if groups else [])
+            held = sum(e - s for s, e in groups[-1])
+        own = groups[-1]
+        if own and own[-1][1] == low:
+            own[-1] = (own[-1][0], high)
         else:
-            buffer += piece
-    if buffer.strip():
-        chunks.append(buffer)
-    out, cursor = [], 0
-    for chunk in chunks:
-        at = text.find(chunk, cursor)
-        start = at if at >= 0 else cursor
+            own.append((low, high))
+        held += high - low
+    out, after = [], 0
+    for own in groups:
+        chunk = "".join(text[s:e] for s, e in own)
+        start = own[0][0] if len(own) == 1 else after
         out.append((chunk, start))
-        cursor = start + max(len(chunk) - overlap, 1)
+        after = start + max(len(chunk) - overlap, 1)
     return out
 
 

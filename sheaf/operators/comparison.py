@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.text import answer_key, pick_quote
 
-from .evaluation import SEED, intervals, paired_differences, significant
+from .evaluation import SEED, intervals, significant
 
 #: What an automatic outcome means as a verdict, and the words of a comparison.
 VERDICTS = {"correct": "correct", "incorrect": "incorrect", "correct_abstention": "valid_abstention", "unjustified_abstention": "invalid_abstention"}
@@ -96,8 +96,8 @@ def compare(predictions: DataFrame, baseline: str) -> DataFrame:
     """Per run and metric the interval and the paired difference to the baseline."""
     rows = metric_rows(predictions.join(shared_questions(predictions), "qid", "left_semi"))
     own = intervals(rows, ["run", "metric"])
-    base = rows.where(F.col("run") == baseline).select("metric", "qid", "value")
-    runs = rows.select("run").distinct()
-    differences = paired_differences(rows, runs.crossJoin(base), ["run", "metric"]).select("run", "metric", F.col("point").alias("diff"), F.col("low").alias("diff_low"), F.col("high").alias("diff_high"))
+    base = rows.where(F.col("run") == baseline).select("metric", "qid", F.col("value").alias("_base"))
+    paired = rows.join(base, ["metric", "qid"]).withColumn("value", F.col("value") - F.col("_base")).where("value is not null")
+    differences = intervals(paired, ["run", "metric"], proportion=False).select("run", "metric", F.col("point").alias("diff"), F.col("low").alias("diff_low"), F.col("high").alias("diff_high"))
     out = own.join(differences, ["run", "metric"], "left").withColumn("significant", significant(F.col("diff_low"), F.col("diff_high")))
     return out.withColumn("verdict", polarity(F.col("metric"), F.col("diff"), F.col("significant"), F.col("run") == baseline))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,22 @@ def judge_citations(rows: DataFrame) -> DataFrame:
     """Rows with citations, context_chunk_ids, gold_chunk_ids."""
     cited = F.size("citations")
     exist = (cited > 0) & (F.size(F.array_except("citations", "context_chunk_ids")) == 0)
-    return rows.withColumns({"cited": cited > 0, "all_exist": exist, "supported": F.coalesce(F.arrays_overlap("citations", "gold_chunk_ids"), F.lit(False)), "n_cited": cited, "n_supported": F.size(F.array_intersect("citations", "gold_chunk_ids"))})
+    return rows.withColumns({"cited": cited > 0, "all_exist": exist, "supported": F.coalesce(F.arrays_overlap("citations", "gold_chunk_ids"), F.lit(False)), "n_cited": cited, "n_supported": F.size(F.array_intersect("citations", "gold_chunk_ids")), "n_hallucinated": F.size(F.filter("citations", lambda c: ~F.array_contains("context_chunk_ids", c)))})
+
+
+def item_results(gold: DataFrame, answers: DataFrame, matches: DataFrame, hits: DataFrame, contexts: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """A row for each gold question: judgment (J1), citations (J2), ranking and context metrics.
+
+    answers (qid, text, abstained, citations), matches (qid, ev_ord, chunk_ids), hits (qid, rank, chunk_id), contexts
+    (qid, pos, chunk_id). A question without an answer is wrong, not an abstention; one without gold chunks has no
+    ranking or context metrics. Each table is grouped by question once, so the joins share one partitioning.
+    """
+    none = F.array().cast(contexts.select(F.array("chunk_id")).schema[0].dataType.simpleString())
+    ids = matches.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("chunk_ids"))).alias("gold_chunk_ids"))
+    shown = contexts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))).alias("_c")).select("qid", F.col("_c.chunk_id").alias("context_chunk_ids"))
+    rows = judge(gold, answers).join(answers.select("qid", "citations"), "qid", "left").join(ids, "qid", "left").join(shown, "qid", "left")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("citations", "gold_chunk_ids", "context_chunk_ids")})
+    return context_metrics(judge_citations(rows)).join(ranking_metrics(hits, matches, ks), "qid", "left")
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -112,18 +128,20 @@ def bootstrap(values: list[float], level: float = 0.95, resamples: int = RESAMPL
     """A3 for one series in its order: seeded resampled means; 0/1 series take the closed form unless told otherwise."""
     if not values:
         return None
-    n, point = len(values), sum(values) / len(values)
+    series = np.array(values, float)
+    n, point = len(series), sum(values) / len(values)
     if n == 1:
         return point, point, point
-    if proportion if proportion is not None else all(v in (0.0, 1.0) for v in values):
-        z = Z.get(level, 1.96)
-        below, middle = 1 + z * z / n, point + z * z / (2 * n)
-        root = z * (point * (1 - point) / n + z * z / (4 * n * n)) ** 0.5
-        return point, max(0.0, (middle - root) / below), min(1.0, (middle + root) / below)
+    if proportion or proportion is None and np.isin(series, (0.0, 1.0)).all():
+        z2 = Z.get(level, 1.96) ** 2
+        middle, spread = (point + z2 / (2 * n)) / (1 + z2 / n), (z2 * (point * (1 - point) + z2 / (4 * n)) / n) ** 0.5 / (1 + z2 / n)
+        return point, max(0.0, middle - spread), min(1.0, middle + spread)
     draw = random.Random(seed)
-    means = sorted(sum(values[draw.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
+    picks = np.fromiter((draw.randrange(n) for _ in range(n * resamples)), np.int64, n * resamples).reshape(resamples, n)
+    means = np.sort(series[np.ascontiguousarray(picks.T)].sum(0) / n)  # sums go draw by draw, as the seeded values are defined
     tail = (1 - level) / 2
-    return point, means[min(int(tail * resamples), resamples - 1)], means[min(int((1 - tail) * resamples), resamples - 1)]
+    low, high = (means[min(int(q * resamples), resamples - 1)] for q in (tail, 1 - tail))
+    return point, float(low), float(high)
 
 
 def intervals(rows: DataFrame, by: list[str], order: str = "qid", value: str = "value", level: float = 0.95, proportion: bool | None = None) -> DataFrame:

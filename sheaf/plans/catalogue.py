@@ -235,20 +235,20 @@ def point_lookup(spark, sf_dir):
     return vectors.lookup(ids, _chunks(spark, sf_dir)).select("turn", F.col("corpus_ord").alias("doc_id"), F.col("section_path").alias("lang"))
 
 
-# --- contexts and prompts: the first documents of each source as the contexts of a question
+# --- contexts and prompts: all documents of a source, two hundred ids at a time, as the contexts of a question
 
-_CTX = """ctx AS (SELECT source AS qid, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, doc_id, ((doc_id * 7919) % 1000) / 1000.0::DOUBLE AS score, text, lang FROM documents)"""
+_CTX = """ctx AS (SELECT source || ':' || (doc_id // 200) AS qid, row_number() OVER (PARTITION BY source, doc_id // 200 ORDER BY doc_id) AS pos, doc_id, ((doc_id * 7919) % 1000) / 1000.0::DOUBLE AS score, text, lang FROM documents)"""
 
 
-def _contexts(spark, sf_dir, n=8):
+def _contexts(spark, sf_dir):
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = _docs(spark, sf_dir).withColumn("pos", place).where(F.col("pos") <= n)
-    return rows.select(F.col("source").alias("qid"), "pos", F.col("doc_id").cast("string").alias("chunk_id"), ((F.col("doc_id") * 7919) % 1000 / F.lit(1000.0)).alias("score"), "text", F.col("lang").alias("section_path"), F.lit(None).cast("int").alias("page"))
+    rows = _docs(spark, sf_dir).withColumn("qid", F.concat("source", F.lit(":"), F.expr("doc_id div 200").cast("string")))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")))
+    return rows.select("qid", "pos", F.col("doc_id").cast("string").alias("chunk_id"), ((F.col("doc_id") * 7919) % 1000 / F.lit(1000.0)).alias("score"), "text", F.col("lang").alias("section_path"), F.lit(None).cast("int").alias("page"))
 
 
-@query(f"WITH {_CTX}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) - 1 AS r, count(*) OVER (PARTITION BY qid) AS n FROM ctx WHERE pos <= 8) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN r % 2 = 0 THEN r ELSE 2 * n - r END) AS pos, doc_id::VARCHAR AS chunk_id FROM k")
+@query(f"WITH {_CTX}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) - 1 AS r, count(*) OVER (PARTITION BY qid) AS n FROM ctx) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN r % 2 = 0 THEN r ELSE 2 * n - r END) AS pos, doc_id::VARCHAR AS chunk_id FROM k")
 def ctx_reorder(spark, sf_dir):
     return contexts.reorder_lost_in_middle(_contexts(spark, sf_dir)).select("qid", F.col("pos").cast("long"), "chunk_id")
 
@@ -258,13 +258,17 @@ def ctx_topk_section_prefix(spark, sf_dir):
     return contexts.add_section_path(contexts.top_k(_contexts(spark, sf_dir), 3)).select("qid", F.col("pos").cast("long"), "chunk_id", F.md5("text").alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CTX}, k AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS r, regexp_replace(text, '\\s+', '', 'g') AS t FROM ctx),
+g AS (SELECT DISTINCT qid, r, CASE WHEN length(t) < 3 THEN t ELSE substring(t, i, 3) END AS g FROM (SELECT qid, r, t, unnest(range(1, greatest(length(t) - 1, 2))) AS i FROM k) WHERE t <> ''), n AS (SELECT qid, r, count(*) AS n FROM g GROUP BY 1, 2),
+near AS (SELECT x.qid, x.r, y.r AS q FROM g x JOIN g y ON x.qid = y.qid AND x.g = y.g AND y.r < x.r JOIN n nx ON nx.qid = x.qid AND nx.r = x.r JOIN n ny ON ny.qid = y.qid AND ny.r = y.r GROUP BY x.qid, x.r, y.r, nx.n, ny.n HAVING count(*) >= (nx.n + ny.n - count(*)) * 0.5),
+s AS (SELECT k.qid, k.r, k.doc_id, coalesce(list(q) FILTER (WHERE q IS NOT NULL), []) AS qs FROM k LEFT JOIN near ON near.qid = k.qid AND near.r = k.r GROUP BY 1, 2, 3),
+f(qid, r, kept, own) AS (SELECT DISTINCT qid, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM s UNION ALL SELECT f.qid, s.r, CASE WHEN list_has_any(f.kept, s.qs) THEN f.kept ELSE list_append(f.kept, s.r) END, CASE WHEN list_has_any(f.kept, s.qs) THEN NULL ELSE s.doc_id END FROM f JOIN s ON s.qid = f.qid AND s.r = f.r + 1)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r) AS pos, own::VARCHAR AS chunk_id FROM f WHERE own IS NOT NULL""")
 def ctx_dedupe(spark, sf_dir):
-    short = _contexts(spark, sf_dir).withColumn("text", F.substring("text", 1, 512))
-    return contexts.dedupe(short, 0.5).select("qid", "pos", "chunk_id")
+    return contexts.dedupe(_contexts(spark, sf_dir), 0.5).select("qid", F.col("pos").cast("long"), "chunk_id")
 
 
-_FOLD = f"""WITH RECURSIVE {_CTX}, c AS (SELECT qid, pos, doc_id, text, {_COST.format('text')} AS cost FROM ctx WHERE pos <= 8),
+_FOLD = f"""WITH RECURSIVE {_CTX}, c AS (SELECT qid, pos, doc_id, text, {_COST.format('text')} AS cost FROM ctx),
 f(qid, pos, used, kept, dropped) AS (SELECT DISTINCT qid, 0::BIGINT, 0, ''::VARCHAR, 0 FROM c UNION ALL SELECT f.qid, c.pos, CASE WHEN used + cost <= 1500 THEN used + cost ELSE used END, CASE WHEN used + cost <= 1500 THEN kept || ',' || doc_id ELSE kept END, CASE WHEN used + cost <= 1500 THEN dropped ELSE dropped + 1 END FROM f JOIN c ON c.qid = f.qid AND c.pos = f.pos + 1)"""
 
 
@@ -274,7 +278,7 @@ def budget_drop_lowest(spark, sf_dir):
     return out.select("qid", F.array_join(F.transform("contexts", lambda c: c["chunk_id"]), ",").alias("kept"), "n_dropped")
 
 
-@query(f"""WITH RECURSIVE {_CTX}, c AS (SELECT qid, pos, text, {_COST.format('text')} AS cost FROM ctx WHERE pos <= 8),
+@query(f"""WITH RECURSIVE {_CTX}, c AS (SELECT qid, pos, text, {_COST.format('text')} AS cost FROM ctx),
 f(qid, pos, used, size, dropped, truncated) AS (SELECT DISTINCT qid, 0::BIGINT, 0, 0::BIGINT, 0, 0 FROM c UNION ALL SELECT f.qid, c.pos, CASE WHEN used + cost <= 1500 THEN used + cost ELSE 1500 END,
   size + CASE WHEN used + cost <= 1500 THEN length(text) WHEN used < 1500 THEN greatest(floor(length(text) * (1500 - used)::DOUBLE / cost), 1)::BIGINT ELSE 0 END, dropped + CASE WHEN used + cost > 1500 AND used >= 1500 THEN 1 ELSE 0 END, truncated + CASE WHEN used + cost > 1500 AND used < 1500 THEN 1 ELSE 0 END
   FROM f JOIN c ON c.qid = f.qid AND c.pos = f.pos + 1)
@@ -298,7 +302,7 @@ def prompt_render(spark, sf_dir):
 
 _DICE = r"""q AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS t, text FROM benchmark), qg AS (SELECT DISTINCT item_id, substring(t, i, 2) AS g FROM (SELECT item_id, t, unnest(range(1, length(t))) AS i FROM q)),
 hit AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS m, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-u AS (SELECT item_id, m, unnest(us) AS unit, generate_subscripts(us, 1) AS n FROM (SELECT item_id, m, list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？!?])', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^\s*#{1,6}\s')) AS us FROM hit WHERE m <= 3)),
+u AS (SELECT item_id, m, unnest(us) AS unit, generate_subscripts(us, 1) AS n FROM (SELECT item_id, m, list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？!?])', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^\s*#{1,6}\s')) AS us FROM hit)),
 v AS (SELECT item_id, m, n, regexp_replace(unit, '^\s*([-*・]|[0-9]+[.)])\s*', '') AS unit FROM u), w AS (SELECT item_id, m, n, unit, regexp_replace(unit, '\s+', '', 'g') AS t FROM v),
 ug AS (SELECT DISTINCT item_id, m, n, CASE WHEN length(t) < 2 THEN t ELSE substring(t, i, 2) END AS g FROM (SELECT item_id, m, n, t, unnest(range(1, greatest(length(t), 2))) AS i FROM w) WHERE t <> ''),
 s AS (SELECT ug.item_id, m, n, 2.0 * count(qg.g) / (count(*) + (SELECT count(*) FROM qg q2 WHERE q2.item_id = ug.item_id)) AS score FROM ug LEFT JOIN qg ON qg.item_id = ug.item_id AND qg.g = ug.g GROUP BY 1, 2, 3),
@@ -307,12 +311,14 @@ best AS (SELECT r.item_id, string_agg(unit, ' ' ORDER BY r) AS said, list_sort(l
 
 
 def _held(spark, sf_dir):
-    """Each benchmark passage as a question, the documents that hold it as its contexts, three at most."""
+    """Each benchmark passage as a question, the documents that hold it as its contexts."""
+    from pyspark.sql import Window
+
     docs = _docs(spark, sf_dir).select("doc_id", "text", F.col("text").alias("norm"))
     needles = _read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
     pairs = evidence.substring_pairs(docs, needles).select(F.col("item_id").cast("string").alias("qid"), "doc_id", "text")
-    hits = vectors.ranked(pairs.select("qid", F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("corpus_ord"), F.lit(1.0).alias("score"), "text"), 3, "text")
-    rows = hits.select("qid", F.col("rank").alias("pos"), "chunk_id", "score", "text", F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("int").alias("page"))
+    hits = pairs.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")).alias("pos"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit(1.0).alias("score"), "text")
+    rows = hits.select("qid", "pos", "chunk_id", "score", "text", F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("int").alias("page"))
     return contexts.prompts(_questions(spark, sf_dir), rows, budget=None)
 
 
@@ -358,7 +364,13 @@ def windowed_f1(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(scoring.windowed_char_f1("p", "a"), 6).alias("windowed"))
 
 
-@query()
+_ITEMS = r"list_filter(list_transform(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace({0}, '([0-9])\.', '\1' || chr(1), 'g'), '\.([0-9])', chr(1) || '\1', 'g'), '[、,，\n・.]'), lambda s: replace(trim(s), chr(1), '.')), lambda s: s <> ''), lambda x: " + _T8.format("x") + "), lambda x: x <> '')"
+
+
+@query(f"""WITH {_PAIRS}, texts AS (SELECT c.conv_id, c.turn, c.text, before FROM conversations c JOIN pairs USING (conv_id, turn) WHERE before IS NOT NULL),
+i AS (SELECT conv_id, turn, {_ITEMS.replace("{0}", "text")} AS p, {_ITEMS.replace("{0}", "before")} AS w FROM texts),
+s AS (SELECT *, len(list_filter(p, lambda x: len(list_filter(w, lambda y: contains(x, y) OR contains(y, x))) > 0))::DOUBLE / nullif(len(p), 0) AS pr, len(list_filter(w, lambda x: len(list_filter(p, lambda y: contains(x, y) OR contains(y, x))) > 0))::DOUBLE / nullif(len(w), 0) AS rc FROM i)
+SELECT conv_id, turn, round(CASE WHEN len(p) = 0 AND len(w) = 0 THEN 1.0 WHEN len(p) = 0 OR len(w) = 0 THEN 0.0 ELSE coalesce(2 * pr * rc / nullif(pr + rc, 0), 0) END, 6) AS set_f1 FROM s""")
 def set_f1(spark, sf_dir):
     items = lambda c: F.filter(F.transform(text.split_items(F.col(c)), lambda x: text.normalize_answer(x, False)), lambda x: x != "")
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(scoring.set_f1(items("text"), items("before")), 6).alias("set_f1"))
@@ -476,6 +488,58 @@ def context_hit_precision(spark, sf_dir):
     return out.select("qid", "context_hit", F.round("context_precision", 6).alias("context_precision"))
 
 
+_ITEM = f"""{_GAINS}, top AS (SELECT qid, c, rank FROM hits WHERE rank <= 20), ctx AS (SELECT qid, list(c ORDER BY rank) AS ctx FROM top WHERE rank <= 3 GROUP BY 1), said AS (SELECT user_id AS qid, min(event_type) AS a, CASE WHEN user_id % 3 = 0 THEN max(event_type) ELSE min(event_type) END AS t, user_id % 5 = 0 AS abstained FROM events GROUP BY 1),
+g AS (SELECT qid, list(DISTINCT c) AS ids FROM gold GROUP BY 1), best AS (SELECT qid, c FROM hits WHERE rank = 1),
+r AS (SELECT said.*, user_id_ok, [best.c] || CASE WHEN said.qid % 4 = 0 THEN [-1::BIGINT] ELSE [] END AS cites, coalesce(ids, []) AS ids, ctx.ctx FROM (SELECT *, qid % 7 <> 0 AS user_id_ok FROM said) said JOIN best USING (qid) JOIN ctx USING (qid) LEFT JOIN g USING (qid))"""
+
+
+@query(f"""WITH {_ITEM} SELECT r.qid::VARCHAR AS qid, CASE WHEN NOT user_id_ok THEN CASE WHEN abstained THEN 'correct_abstention' ELSE 'incorrect' END WHEN abstained THEN 'unjustified_abstention' WHEN t = a OR contains(t, a) THEN 'correct' ELSE 'incorrect' END AS outcome,
+  len(list_filter(cites, lambda c: NOT list_contains(ctx, c))) = 0 AS all_exist, len(list_filter(cites, lambda c: list_contains(r.ids, c))) > 0 AS supported, len(cites)::BIGINT AS n_cited, len(list_filter(cites, lambda c: NOT list_contains(ctx, c)))::BIGINT AS n_hallucinated,
+  CASE WHEN len(r.ids) > 0 THEN len(list_filter(ctx, lambda c: list_contains(r.ids, c)))::DOUBLE / len(ctx) END IS NOT NULL AS measured, CASE WHEN len(r.ids) > 0 THEN (len(list_filter(ctx, lambda c: list_contains(r.ids, c))) > 0)::INT::DOUBLE END AS context_hit, hit_5, round(rr, 6) AS reciprocal_rank FROM r LEFT JOIN m USING (qid)""")
+def item_results(spark, sf_dir):
+    """Users as questions: their events by value as hits, the first three as contexts, those of one type as gold."""
+    e = _read(spark, sf_dir, "events").withColumn("qid", F.col("user_id").cast("string"))
+    hits = _two_lists(spark, sf_dir)[0][1].select(F.col("qid").cast("string").alias("qid"), "rank", "chunk_id")
+    first = e.agg(F.min("event_type").alias("event_type"))
+    matches = e.join(F.broadcast(first), "event_type").groupBy("qid", (F.col("event_id") % 2).alias("ev_ord")).agg(F.collect_list("event_id").alias("chunk_ids"))
+    users = e.groupBy("qid", "user_id").agg(F.min("event_type").alias("a"), F.max("event_type").alias("z"))
+    gold = users.select("qid", F.col("a").alias("answer"), F.array().cast("array<string>").alias("answer_aliases"), F.lit("short").alias("answer_type"), (F.col("user_id") % 7 != 0).alias("answerable"))
+    best = hits.where("rank = 1").select("qid", "chunk_id")
+    cites = F.concat(F.array("chunk_id"), F.when(F.col("user_id") % 4 == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
+    said = users.join(best, "qid").select("qid", F.when(F.col("user_id") % 3 == 0, F.col("z")).otherwise(F.col("a")).alias("text"), (F.col("user_id") % 5 == 0).alias("abstained"), cites.alias("citations"))
+    out = evaluation.item_results(gold, said, matches, hits, hits.where("rank <= 3").select("qid", F.col("rank").alias("pos"), "chunk_id"), (5,))
+    return out.select("qid", "outcome", "all_exist", "supported", F.col("n_cited").cast("long"), F.col("n_hallucinated").cast("long"), F.col("context_precision").isNotNull().alias("measured"), "context_hit", "hit_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@query("""SELECT event_type AS stage, sum(1)::BIGINT AS n, max(value) AS peak_rss_mb, min(p50) AS p50, min(p95) AS p95 FROM events JOIN (
+  SELECT event_type, max(CASE WHEN i = least(floor(0.5 * n), n - 1) THEN value END) AS p50, max(CASE WHEN i = least(floor(0.95 * n), n - 1) THEN value END) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1) USING (event_type) GROUP BY 1""")
+def cost_summary(spark, sf_dir):
+    trace = _read(spark, sf_dir, "events").select(F.col("event_id").alias("qid"), F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"), F.col("value").alias("rss_mb"))
+    return evaluation.cost_summary(trace).select("stage", "n", "peak_rss_mb", "p50", "p95")
+
+
+@query("""WITH g AS (SELECT conv_id AS qid, list(turn ORDER BY turn) AS gold, list(turn ORDER BY turn DESC) AS got, list(turn) FILTER (WHERE role = 'user') AS ctx FROM conversations GROUP BY 1), f AS (SELECT qid, got, ctx, list_filter(gold, lambda t: t % 3 = 1) AS gold FROM g)
+SELECT qid, list_min(list_transform(gold, lambda t: list_position(got, t)))::BIGINT AS first_gold_rank, len(list_intersect(gold, coalesce(ctx, []))) > 0 AS in_prompt FROM f""")
+def retrieval_note(spark, sf_dir):
+    """Turns of a conversation as hits, the last first; every third is gold, those of the user reach the prompt."""
+    rows = _read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(F.sort_array(F.collect_list("turn"), False).alias("retrieved"), F.collect_list(F.when(F.col("turn") % 3 == 1, F.col("turn"))).alias("gold_chunk_ids"), F.collect_list(F.when(F.col("role") == "user", F.col("turn"))).alias("context_chunk_ids"))
+    return comparison.retrieval_note(rows).select("qid", F.col("first_gold_rank").cast("long"), "in_prompt")
+
+
+@query("""SELECT doc_id, replace(replace(text, 'the', 'THE'), 'de', '') = text AS same, md5(replace(replace(text, 'the', 'THE'), 'de', '')) AS digest FROM documents""")
+def layout_replaced(spark, sf_dir):
+    rows = layout.replaced(_docs(spark, sf_dir).withColumn("was", F.col("text")), {"the": "THE", "de": ""})
+    return rows.select("doc_id", (F.col("text") == F.col("was")).alias("same"), F.md5("text").alias("digest"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents), t AS (SELECT doc_id, i, trim(l) AS t FROM l WHERE trim(l) <> '')
+SELECT doc_id || '#p' || CASE WHEN i // 10 + 1 > 9999 THEN right((i // 10 + 1)::VARCHAR, 4) ELSE lpad((i // 10 + 1)::VARCHAR, 4, '0') END AS doc_id, (i // 10 + 1)::INTEGER AS page, md5(string_agg(t, chr(10) ORDER BY i)) AS digest FROM t GROUP BY doc_id, i // 10""")
+def layout_pages(spark, sf_dir):
+    """Ten lines of a document as a page."""
+    rows = _layout(spark, sf_dir).withColumn("page", F.expr("cast(row div 10 + 1 as int)"))
+    return layout.pages(rows).select("doc_id", "page", F.md5("text").alias("digest"))
+
+
 # --- sampling and comparison
 
 
@@ -539,12 +603,14 @@ def layout_sections(spark, sf_dir):
     return layout.sections(layout.headings(_layout(spark, sf_dir))).select("doc_id", "section_path", "heading_level", F.md5("text").alias("digest"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents), w AS (SELECT doc_id, i, list_filter(string_split(l, ' '), lambda x: x <> '') AS ws FROM l)
+SELECT doc_id::VARCHAR AS path, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS row, md5(array_to_string(ws, ' ')) AS digest FROM w WHERE len(ws) > 0""")
 def layout_rows(spark, sf_dir):
-    """Words of the first line of each document as fragments, put together again."""
-    words = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split(F.get(F.split("text", "\n"), F.lit(0)), " ")).alias("i", "text")).where("text <> ''")
-    pieces = words.select("path", F.lit(1).alias("page"), F.lit(800.0).alias("page_height"), "text", (100 + F.col("i") % 3).cast("double").alias("y0"), (F.col("i") * 50.0).alias("x0"), (F.col("i") * 50.0 + 45).alias("x1"), F.lit(12.0).alias("size"), F.lit(False).alias("bold"))
-    return layout.rows_of(pieces).select("path", "row", F.md5("text").alias("digest"))
+    """Words of the lines of each document as fragments, put together again."""
+    lines = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    words = lines.select("path", "line", F.posexplode(F.split("l", " ")).alias("i", "text")).where("text <> ''")
+    pieces = words.select("path", F.lit(1).alias("page"), F.lit(800.0).alias("page_height"), "text", (100 + 20 * F.col("line") + F.col("i") % 3).cast("double").alias("y0"), (F.col("i") * 50.0).alias("x0"), (F.col("i") * 50.0 + 45).alias("x1"), F.lit(12.0).alias("size"), F.lit(False).alias("bold"))
+    return layout.rows_of(pieces).select("path", F.col("row").cast("long").alias("row"), F.md5("text").alias("digest"))
 
 
 # --- whole pipelines

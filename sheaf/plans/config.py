@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import functools
 import hashlib
 import itertools
 import json
@@ -33,20 +34,31 @@ def merge(base: Mapping[str, Any], change: Mapping[str, Any]) -> dict[str, Any]:
     return out
 
 
-def load_raw(path: str | Path, folder: str | Path | None = None, seen: tuple[Path, ...] = ()) -> dict[str, Any]:
-    """A YAML file merged over what it extends."""
-    wanted = Path(path) if Path(path).suffix else Path(f"{path}.yaml")
-    places = [wanted] if wanted.is_absolute() else [Path(p) / wanted for p in (*([folder] if folder else []), Path.cwd())]
-    found = next((p.resolve() for p in places if p.exists()), None)
-    if found is None:
-        raise ConfigError(f"no configuration {path} in {', '.join(str(p.parent) for p in places)}")
-    if found in seen:
-        raise ConfigError("a configuration extends itself: " + " -> ".join(p.name for p in (*seen, found)))
-    data = yaml.safe_load(found.read_text(encoding="utf-8")) or {}
-    if not isinstance(data, dict):
-        raise ConfigError(f"{found} is not a mapping")
-    parent = data.pop("extends", None)
-    return data if parent is None else merge(load_raw(parent, folder or found.parent, (*seen, found)), data)
+def _read(path: str | Path, folders: list[Path]) -> tuple[Path, dict[str, Any]]:
+    """A YAML file, looked for in the folders, and its content."""
+    name = Path(path).with_suffix(Path(path).suffix or ".yaml")
+    for folder in folders:
+        if (at := folder / name).exists():  # an absolute name stays as it is
+            content = yaml.safe_load(at.read_text(encoding="utf-8"))
+            if content is not None and not isinstance(content, dict):
+                raise ConfigError(f"{at} is not a mapping")
+            return at.resolve(), content or {}
+    raise ConfigError(f"no configuration {path} in {', '.join(map(str, folders))}")
+
+
+def load_raw(path: str | Path, folder: str | Path | None = None) -> dict[str, Any]:
+    """A YAML file over what it extends: the chain is read upwards first, then merged from its root down."""
+    chain: dict[Path, dict[str, Any]] = {}
+    wanted: str | Path | None = path
+    folders = [Path(folder)] if folder else []
+    while wanted is not None:
+        at, content = _read(wanted, [*folders, Path.cwd()])
+        if at in chain:
+            raise ConfigError("a configuration extends itself: " + " -> ".join(p.name for p in (*chain, at)))
+        wanted = content.pop("extends", None)
+        chain[at] = content
+        folders = folders or [at.parent]
+    return functools.reduce(merge, reversed(chain.values()))
 
 
 def validate(raw: Mapping[str, Any]) -> Mapping[str, Any]:
@@ -82,50 +94,51 @@ def index_signature(raw: Mapping[str, Any], corpus: str) -> str:
     return _digest({"index": raw.get("index"), "corpus": corpus})
 
 
-def set_path(raw: dict[str, Any], dotted: str, value: Any) -> None:
-    """Change a leaf that exists; another `type` drops the options beside it."""
-    *above, leaf = dotted.split(".")
-    at: Any = raw
-    for key in (*above, None):
-        if not isinstance(at, dict) or (leaf if key is None else key) not in at:
-            raise ConfigError(f"no {dotted} in the base configuration")
-        at = at if key is None else at[key]
-    if leaf == "type" and at["type"] != value:
-        at.clear()
-    at[leaf] = copy.deepcopy(value)
+def value_at(raw: Mapping[str, Any], dotted: str) -> Any:
+    """The value of a leaf, which must exist."""
+    try:
+        return functools.reduce(lambda at, key: at[key], dotted.split("."), raw)
+    except (KeyError, TypeError, IndexError):
+        raise ConfigError(f"no {dotted} in the base configuration") from None
 
 
-def _label(dotted: str, value: Any) -> str:
-    text = str(value) if isinstance(value, str | int | float) else _digest(value, 6)
-    return f"{dotted.rpartition('.')[2]}-{''.join(c if c.isalnum() else '-' for c in text).strip('-')}"[:40]
+def changed(raw: Mapping[str, Any], dotted: str, value: Any) -> dict[str, Any]:
+    """A copy with another value at a leaf that exists; another `type` drops the options beside it."""
+    key, _, rest = dotted.partition(".")
+    value_at(raw, dotted)
+    if rest:
+        return {**raw, key: changed(raw[key], rest, value)}
+    return {key: value} if key == "type" and raw[key] != value else {**raw, key: value}
 
 
 def expand(base: Mapping[str, Any], axes: Mapping[str, list], mode: str = "ablation") -> list[dict[str, Any]]:
-    """The base, then one axis at a time or all combinations; equal contents run once."""
-    if mode == "ablation":
-        changes = [{axis: v} for axis, values in axes.items() for v in values]
-    elif mode == "grid":
-        changes = [dict(zip(axes, values, strict=True)) for values in itertools.product(*axes.values())]
-    else:
-        raise ConfigError(f"unknown mode {mode!r}")
-    out, seen = [copy.deepcopy(dict(base))], {config_hash(base)}
-    for change in changes:
-        variant = copy.deepcopy(dict(base))
-        for dotted, value in change.items():
-            set_path(variant, dotted, value)
-        if config_hash(variant) not in seen:
-            seen.add(config_hash(variant))
-            variant["name"] = f"{base.get('name', 'base')}__" + "_".join(_label(*x) for x in sorted(change.items()))
-            out.append(variant)
-    return out
+    """The base, then one axis at a time or all combinations; equal contents run once. A variant's name tells what
+    was changed, and the digest of its content keeps names apart."""
+    for dotted in axes:
+        value_at(base, dotted)
+    match mode:
+        case "ablation":
+            changes = [[(axis, v)] for axis, values in axes.items() for v in values]
+        case "grid":
+            changes = [list(zip(axes, values, strict=True)) for values in itertools.product(*axes.values())]
+        case _:
+            raise ConfigError(f"unknown mode {mode!r}")
+    variants = {config_hash(base): copy.deepcopy(dict(base))}
+    for own in changes:
+        made = copy.deepcopy(functools.reduce(lambda raw, change: changed(raw, *change), own, dict(base)))
+        told = ",".join(f"{dotted.rpartition('.')[2]}={value}" for dotted, value in own)[:40]
+        made["name"] = f"{base.get('name', 'base')}/{told}/{config_hash(made)[:6]}"
+        variants.setdefault(config_hash(made), made)
+    return list(variants.values())
 
 
 def plan(base: Mapping[str, Any], axes: Mapping[str, list], mode: str = "ablation") -> dict[str, Any]:
-    """Every variant checked before the first runs, and the axes that need a new index."""
-    variants = expand(base, axes, mode)
-    for v in variants:
-        validate(v)
-    return {"mode": mode, "n_variants": len(variants), "axes": {a: len(v) for a, v in axes.items()}, "reindex_axes": [a for a in axes if a.startswith("index.")]}
+    """Every variant checked before the first runs, and which of them need an index of their own."""
+    variants = [validate(v) for v in expand(base, axes, mode)]
+    return {
+        "mode": mode, "n_variants": len(variants), "n_indexes": len({index_signature(v, v.get("corpus", "")) for v in variants}),
+        "axes": {axis: len(values) for axis, values in axes.items()}, "reindex_axes": sorted(axis for axis in axes if axis.partition(".")[0] == "index"),
+    }
 
 
 def run_all(variants: list[dict[str, Any]], run) -> list[tuple[str, Any, str | None]]:
