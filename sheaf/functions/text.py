@@ -39,7 +39,8 @@ def strip(text: Column) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Lower case, and the letters that folding maps further: sharp s, final sigma, long s."""
+    return F.replace(F.translate(F.lower(text), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
 
 
 def normalize_for_match(text: Column, unicode: bool = True) -> Column:

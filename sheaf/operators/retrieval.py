@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -47,12 +47,13 @@ def queries_of(questions: DataFrame, transformed: Column) -> DataFrame:
     return questions.select("qid", F.posexplode(transformed).alias("q_ord", "text"))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Queries (qid, q_ord, vec). Several queries of a question fetch more each and merge by maximum."""
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 5, search: Callable[..., DataFrame] = vector_topk) -> DataFrame:
+    """Queries (qid, q_ord, vec). Several queries of a question fetch more each and merge by maximum. `search` is the
+    indexer's way to find the nearest vectors."""
     several = queries.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     fetch = min(2 * k, k + 10) if several else k
     numbered = queries.select(F.struct("qid", "q_ord").alias("key"), F.to_json(F.struct("qid", "q_ord")).alias("qid"), "vec")
-    hits = vector_topk(numbered.select("qid", "vec"), vectors, fetch).join(numbered.select(F.col("qid"), "key"), "qid")
+    hits = search(numbered.select("qid", "vec"), vectors, fetch).join(numbered.select(F.col("qid"), "key"), "qid")
     merged = hits.groupBy(F.col("key.qid").alias("qid"), "chunk_id", "corpus_ord").agg(F.max("score").alias("score"))
     return ranked(merged, k).withColumn("provenance", F.create_map(F.lit("dense"), "score"))
 

@@ -103,11 +103,11 @@ def _synonyms(synonyms: Mapping[str, list[str]], max_queries: int = 4):
 
 
 @register("retriever", "dense")
-def _dense(index: Mapping[str, DataFrame], embed, top_k: int = 5):
+def _dense(index: Mapping[str, DataFrame], embed, search=vectors.vector_topk, top_k: int = 5):
     def run(queries: DataFrame) -> DataFrame:
         keyed = queries.withColumn("key", F.to_json(F.struct("qid", "q_ord")))
         embedded = embed(keyed.select("key", "text"), "key", query=True)
-        return retrieval.dense(keyed.select("qid", "q_ord", "key").join(embedded, "key").drop("key"), index["vectors"], top_k)
+        return retrieval.dense(keyed.select("qid", "q_ord", "key").join(embedded, "key").drop("key"), index["vectors"], top_k, search)
 
     return run
 
@@ -119,9 +119,9 @@ def _sparse(index: Mapping[str, DataFrame], top_k: int = 5, tokenizer: str = "ch
 
 
 @register("retriever", "hybrid")
-def _hybrid(index: Mapping[str, DataFrame], embed, top_k: int = 5, retrievers: list | None = None, weights: list[float] | None = None, rrf_k: float = retrieval.RRF_K):
+def _hybrid(index: Mapping[str, DataFrame], embed, search=vectors.vector_topk, top_k: int = 5, retrievers: list | None = None, weights: list[float] | None = None, rrf_k: float = retrieval.RRF_K):
     specs = retrievers or [{"type": "dense", "top_k": retrieval.CHILD_K}, {"type": "sparse", "top_k": retrieval.CHILD_K}]
-    children = [(s["type"], registry.build("retriever", {"top_k": top_k} | dict(s), index=index, embed=embed)) for s in specs]
+    children = [(s["type"], registry.build("retriever", {"top_k": top_k} | dict(s), index=index, embed=embed, search=search)) for s in specs]
     return lambda queries: retrieval.fuse([(name, child(queries)) for name, child in children], top_k, weights, rrf_k)
 
 
@@ -147,7 +147,8 @@ def _section():
 
 @register("prompt", "template")
 def _template(path: str = "", context_token_budget: int | None = None, overflow_policy: str = "drop_lowest", instruction_role: str = "system"):
-    return lambda questions, rows: contexts.prompts(questions, rows, context_token_budget, overflow_policy, instruction_role)
+    own = {"instructions": Path(path).read_text(encoding="utf-8")} if path else {}
+    return lambda questions, rows: contexts.prompts(questions, rows, context_token_budget, overflow_policy, instruction_role, **own)
 
 
 @register("generator", "extractive")
@@ -201,10 +202,11 @@ def answer(index: Mapping[str, DataFrame], questions: DataFrame, raw: Mapping[st
     are written as they are made, so each is computed once and the trace times the work itself."""
     own, trace = raw["query"], trace or Trace()
     embed = registry.build("embedder", raw["index"]["embedder"])
+    search = registry.build("indexer", raw["index"].get("indexer", {"type": "numpy_flat"}))
     with trace.stage("query_transform", own["query_transform"]["type"]):
         queries = retrieval.queries_of(questions, registry.build("query_transform", own["query_transform"])(F.col("question")))
     with trace.stage("retriever", own["retriever"]["type"]):
-        hits = scratch.stored(registry.build("retriever", own["retriever"], index=index, embed=embed)(queries), "hits")
+        hits = scratch.stored(registry.build("retriever", own["retriever"], index=index, embed=embed, search=search)(queries), "hits")
     rows = contexts.from_hits(hits, index["chunks"])
     for spec in own.get("post_retrieval", []):
         with trace.stage("post_retrieval", spec["type"]):
