@@ -138,7 +138,7 @@ def bootstrap(values: list[float], level: float = 0.95, resamples: int = RESAMPL
         return point, max(0.0, middle - spread), min(1.0, middle + spread)
     draw = random.Random(seed)
     picks = np.fromiter((draw.randrange(n) for _ in range(n * resamples)), np.int64, n * resamples).reshape(resamples, n)
-    means = np.sort(series[np.ascontiguousarray(picks.T)].sum(0) / n)  # sums go draw by draw, as the seeded values are defined
+    means = sorted(sum(drawn) / n for drawn in series[picks].tolist())
     tail = (1 - level) / 2
     low, high = (means[min(int(q * resamples), resamples - 1)] for q in (tail, 1 - tail))
     return point, float(low), float(high)
