@@ -38,16 +38,27 @@ SENTENCES = {
     "T": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "U": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "V": "all rights reserved",
+    "a": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "b": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "c": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "d": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "e": "if a copy of the mpl was not distributed with this file you can obtain one at",
+    "f": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "g": "this is free and unencumbered software released into the public domain",
+    "h": "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
+    "i": "licensed under cc by sa 4 0",
+    "j": "distributed under the boost software license version 1 0",
 }
 #: Ordered rules: the sequence of sentence identifiers, and the licence it stands for.
 RULES = {
     "RSTU": "BSD-3-Clause", "RST": "BSD-2-Clause", "BCDEF": "Apache-2.0", "BCDE": "Apache-2.0", "BC": "Apache-2.0",
     "HIJ": "MIT", "HI": "MIT", "LMN": "GPL-3.0-or-later", "LM": "GPL-3.0-or-later", "L": "GPL-3.0-or-later",
     "A": "Apache-2.0", "B": "Apache-2.0", "G": "MIT", "K": "GPL-3.0-only", "O": "CC-BY-NC-4.0", "P": "CC-BY-4.0",
-    "Q": "CC-BY-4.0", "V": "all-rights-reserved",
+    "Q": "CC-BY-4.0", "V": "all-rights-reserved", "a": "LGPL-2.1-or-later", "b": "AGPL-3.0-or-later", "cMN": "GPL-2.0-or-later", "cM": "GPL-2.0-or-later", "c": "GPL-2.0-or-later",
+    "de": "MPL-2.0", "d": "MPL-2.0", "f": "ISC", "g": "Unlicense", "h": "CC0-1.0", "i": "CC-BY-SA-4.0", "j": "BSL-1.0",
 }
 #: What a licence lets a training corpus do.
-VERDICTS = {"CC-BY-NC-4.0": "restricted", "all-rights-reserved": "restricted", "GPL-3.0-only": "copyleft", "GPL-3.0-or-later": "copyleft"}
+VERDICTS = {"CC-BY-NC-4.0": "restricted", "all-rights-reserved": "restricted", "GPL-3.0-only": "copyleft", "GPL-3.0-or-later": "copyleft", "GPL-2.0-or-later": "copyleft", "LGPL-2.1-or-later": "copyleft", "AGPL-3.0-or-later": "copyleft", "MPL-2.0": "copyleft", "CC-BY-SA-4.0": "copyleft"}
 #: Of several licences in one text the first of these that occurs decides.
 ORDER = ("restricted", "copyleft", "permissive")
 
@@ -58,9 +69,8 @@ STOP = r"([.!?;:])[ \t\r]+"
 #: of the GPL put a colon or semicolon at the places of INNER.
 GAP = r"(?=[^A-Za-z0-9])(?:(?![.!?;:]\s)[^A-Za-z0-9\n])*+(?:\n(?![ \t\r]*\n)[^A-Za-z0-9\n]*+)?"
 INNER_GAP = r"(?=[^A-Za-z0-9])[^A-Za-z0-9\n]*+(?:\n(?![ \t\r]*\n)[^A-Za-z0-9\n]*+)?"
-INNER = ("free software|you can", "any warranty|without even")
+INNER = ("free software|you can", "any warranty|without even", "software foundation|either", "license v|2 0")
 ITEM = r"(?:(?<![^\n])[ \t]*\(?[0-9a-z]{1,2}[.)][ \t]+)?"
-LONGEST = max(map(len, SENTENCES.values())) + 200
 
 
 def _literals(values) -> Column:
@@ -77,7 +87,7 @@ def _pattern(sentence: str) -> str:
 
 def _notices_joined(flat: Column) -> Column:
     """The text with each known sentence in one piece; whatever stands around a sentence stays."""
-    starts = "|".join(dict.fromkeys(GAP.join(s.split()[:2]) for s in SENTENCES.values()))
+    starts = "|".join(dict.fromkeys(GAP.join(s.split()[:3]) for s in SENTENCES.values()))
     joined = flat
     for sentence in sorted(SENTENCES.values(), key=len, reverse=True):
         joined = F.regexp_replace(joined, _pattern(sentence), sentence)
@@ -91,7 +101,7 @@ def sentence_ids(text: Column) -> Column:
     known, marks = _literals(SENTENCES.values()), _literals(SENTENCES)
 
     def mark(sentence: Column) -> Column:
-        normal = F.when(F.length(sentence) <= LONGEST, F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")))
+        normal = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
         return F.coalesce(F.get(marks, F.array_position(known, normal).cast("int") - 1), F.lit("."))
 
     return F.array_join(F.transform(F.filter(F.split(flat, "\n"), lambda s: s.rlike("[A-Za-z0-9]")), mark), "")
@@ -132,7 +142,7 @@ def _sql() -> str:
     return f"""
 WITH flat AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{LEADER}', '\\1', 'g'), '{WRAP}', '\\1 \\2', 'g'), '{STOP}', '\\1' || chr(10), 'g') AS t FROM documents),
 seq AS (SELECT doc_id, array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[A-Za-z0-9]')),
-  lambda s: coalesce(CASE WHEN length(s) <= {LONGEST} THEN ({marks})[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))] END, '.')), '') AS ids FROM flat),
+  lambda s: coalesce(({marks})[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))], '.')), '') AS ids FROM flat),
 found AS (SELECT doc_id, ids, list_transform(regexp_extract_all(ids, '{"|".join(longest_first)}'), lambda m: ({names})[m]) AS ls FROM seq)
 SELECT doc_id, coalesce(array_to_string(ls, ','), '') AS licences, length(ids)::BIGINT AS n_sentences, length(replace(ids, '.', ''))::BIGINT AS n_known, {verdict} AS verdict FROM found"""
 

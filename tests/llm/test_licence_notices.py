@@ -44,6 +44,12 @@ NOTICES = {
     "HIJ": GRANT + "\n" + WARRANTY, "HI": GRANT, "LMN": FREE.format(": ") + HOPE + SEE, "LM": FREE.format("; ") + HOPE, "L": FREE.format(": "),
     "A": "Licensed under the Apache License,\nVersion 2.0.", "B": APACHE, "G": "Released under the\nMIT License.",
     "K": "This work is licensed under the GNU General Public License\nVersion 3.", "O": "Licensed under CC\nBY-NC 4.0.", "P": "Licensed under CC BY 4.0",
+    "a": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n",
+    "b": FREE.format(": ").replace("GNU General", "GNU Affero General"), "c": FREE.format("; ").replace("version 3", "version 2"), "cM": FREE.format("; ").replace("version 3", "version 2") + HOPE, "cMN": FREE.format("; ").replace("version 3", "version 2") + HOPE + SEE,
+    "d": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "de": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at\n",
+    "f": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+    "g": "This is free and unencumbered software released into the public domain.\n", "h": "To the extent possible under law, the person who associated CC0 with\nthis work has waived all copyright and related or neighboring\nrights to this work.\n",
+    "i": "Licensed under CC BY-SA 4.0.", "j": "Distributed under the Boost Software License, Version 1.0.\n",
     "Q": "This work is licensed under a Creative Commons Attribution 4.0\nInternational License.", "V": "ALL RIGHTS\nRESERVED.",
 }
 
