@@ -7,6 +7,7 @@ import functools
 import hashlib
 import itertools
 import json
+import re
 from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
@@ -112,8 +113,8 @@ def changed(raw: Mapping[str, Any], dotted: str, value: Any) -> dict[str, Any]:
 
 
 def expand(base: Mapping[str, Any], axes: Mapping[str, list], mode: str = "ablation") -> list[dict[str, Any]]:
-    """The base, then one axis at a time or all combinations; equal contents run once. A variant's name tells what
-    was changed, and the digest of its content keeps names apart."""
+    """The base, then one axis at a time or all combinations; equal contents run once. A variant's name, which also
+    names its folder, tells what was changed."""
     for dotted in axes:
         value_at(base, dotted)
     match mode:
@@ -126,8 +127,8 @@ def expand(base: Mapping[str, Any], axes: Mapping[str, list], mode: str = "ablat
     variants = {config_hash(base): copy.deepcopy(dict(base))}
     for own in changes:
         made = copy.deepcopy(functools.reduce(lambda raw, change: changed(raw, *change), own, dict(base)))
-        told = ",".join(f"{dotted.rpartition('.')[2]}={value}" for dotted, value in own)[:40]
-        made["name"] = f"{base.get('name', 'base')}/{told}/{config_hash(made)[:6]}"
+        told = (f"{dotted.rpartition('.')[2]}-{value if isinstance(value, str | int | float) else _digest(value, 6)}" for dotted, value in sorted(own))
+        made["name"] = f"{base.get('name', 'base')}__" + "_".join(re.sub(r"[^\w-]+", "-", t).strip("-")[:40] for t in told)
         variants.setdefault(config_hash(made), made)
     return list(variants.values())
 
