@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, release, small_batches, stored
@@ -261,14 +261,8 @@ def counted_windows(left_over: DataFrame, scheme: Scheme) -> DataFrame:
     return windows.join(twice, ["a", "d", "edge"], "left_semi").select("a", "c", F.col("d").alias("low"), (F.col("d") + scheme.width).cast("int").alias("high"))
 
 
-def covered(docs: DataFrame, scheme: Scheme, resolve: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and (rk, ranges): the stretches of each document that repeated windows cover.
-
-    resolve: from the ambiguous bins (a, c, n, nu, members, ik, bin, low, high, left, ctx) to (a, c, low, high).
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = keyed(docs)
+def repeated_anchors(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, c, rk, pos, pure): the anchors whose k-gram occurs twice; pure where all its contexts agree."""
     anchors = stored(anchor_table(rows, scheme), "anchors")
     again = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n >= 2")
     # stored, so that both sides of the join are plain exchanges and a hot key's partition can be split
@@ -276,35 +270,64 @@ def covered(docs: DataFrame, scheme: Scheme, resolve: Callable[[DataFrame], Data
     found = stored(anchors.join(again, "a"), "repeated")
     discard(anchors)
     discard(again)
-    release(spark)
+    release(rows.sparkSession)
+    return found
 
+
+def read_contexts(rows: DataFrame, found: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, c, n, left, ctx): one representative of each distinct context of the k-grams whose contexts differ."""
     mixed = found.where("not pure").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos")).alias("at"))
     wanted = mixed.select("a", "c", "n", "at.rk", "at.pos").groupBy("rk").agg(F.collect_list(F.struct("a", "c", "n", "pos")).alias("wanted"))
     contexts = stored(rows.select("rk", "text").join(wanted, "rk").select("text", "wanted").mapInArrow(_contexts(scheme), CONTEXT), "contexts")
-    release(spark)
+    release(rows.sparkSession)
+    return contexts
+
+
+KEY = ["a", "bin", "ik"]
+
 
-    key = ["a", "bin", "ik"]
+def binned(contexts: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, c, n, bin, ik, uk, low, high) of the bins whose common part occurs twice."""
     bins = contexts.select("a", "c", "n", "left", "ctx").mapInArrow(_bins(scheme), "a long, c long, n long, bin int, ik long, uk long, low int, high int")
-    again = stored(bins.groupBy(*key).agg(F.sum("n").alias("total")).where("total >= 2").select(*key), "again")
-    bins = stored(bins.join(again, key, "left_semi"), "bins")
-    release(spark)
-    whole = bins.groupBy(*key, "uk").agg(F.sum("n").alias("nu"), F.min("c").alias("c"), F.min("low").alias("low"), F.min("high").alias("high"))
+    again = stored(bins.groupBy(*KEY).agg(F.sum("n").alias("total")).where("total >= 2").select(*KEY), "again")
+    bins = stored(bins.join(again, KEY, "left_semi"), "bins")
+    discard(again)
+    release(contexts.sparkSession)
+    return bins
+
+
+def everywhere(scheme: Scheme) -> Column:
+    """The stretches of an anchor whose whole context is repeated."""
+    return F.array(F.struct(F.lit(1 - scheme.span).alias("low"), F.lit(scheme.width).alias("high")))
+
+
+def covered(docs: DataFrame, scheme: Scheme, resolve: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The keyed documents, and (rk, ranges): the stretches of each document that repeated windows cover.
+
+    resolve: from the ambiguous bins (a, c, n, nu, members, ik, bin, low, high, left, ctx) to (a, c, low, high).
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = keyed(docs)
+    found = repeated_anchors(rows, scheme)
+    contexts = read_contexts(rows, found, scheme)
+    bins = binned(contexts, scheme)
+    whole = bins.groupBy(*KEY, "uk").agg(F.sum("n").alias("nu"), F.min("c").alias("c"), F.min("low").alias("low"), F.min("high").alias("high"))
     whole = stored(whole, "wholes")
-    members = whole.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members >= 2")
-    unclear = whole.join(members, key).join(contexts.select("a", "c", "left", "ctx"), ["a", "c"])
+    members = whole.groupBy(*KEY).agg(F.count(F.lit(1)).alias("members")).where("members >= 2")
+    unclear = whole.join(members, KEY).join(contexts.select("a", "c", "left", "ctx"), ["a", "c"])
     resolved = stored(resolve(unclear).select("a", "c", "low", "high"), "resolved")
     release(spark)
 
-    all_twice = bins.join(whole.where("nu >= 2").select(*key, "uk"), [*key, "uk"], "left_semi").select("a", "c", "low", "high")
+    all_twice = bins.join(whole.where("nu >= 2").select(*KEY, "uk"), [*KEY, "uk"], "left_semi").select("a", "c", "low", "high")
     stretches = all_twice.unionByName(resolved).groupBy("a", "c").agg(F.collect_set(F.struct("low", "high")).alias("own"))
-    everywhere = F.array(F.struct(F.lit(1 - scheme.span).alias("low"), F.lit(scheme.width).alias("high")))
-    twice = contexts.where("n >= 2").select("a", "c", everywhere.alias("own")).distinct()
+    twice = contexts.where("n >= 2").select("a", "c", everywhere(scheme).alias("own")).distinct()
     partly = stretches.join(contexts.where("n = 1").select("a", "c"), ["a", "c"])
     marks = stored(twice.unionByName(partly), "marks")
-    for table in (contexts, again, bins, whole, resolved):
+    for table in (contexts, bins, whole, resolved):
         discard(table)
     release(spark)
-    full = found.where("pure").select("rk", "pos", everywhere.alias("own"))
+    full = found.where("pure").select("rk", "pos", everywhere(scheme).alias("own"))
     marked = found.where("not pure").join(marks, ["a", "c"]).select("rk", "pos", "own")
     spans = full.unionByName(marked).groupBy("rk").agg(F.collect_list(F.struct("pos", "own")).alias("marks"))
     return rows, spans

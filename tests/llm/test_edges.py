@@ -68,9 +68,31 @@ def test_suffix_dedup(spark, folder):
     assert suffixes.op5_suffix_dedup(spark, f"{folder}/none").count() == 0
 
 
-def test_large_groups_are_counted_instead(spark, docs):
-    few, many = (sorted(tuple(r) for r in suffixes.covered(docs, suffixes.SCHEME, lambda u, m=m: suffixes.resolve(u, m))[1].selectExpr("rk", "size(marks)").collect()) for m in (4096, 1))
-    assert [k for k, _ in few] == [k for k, _ in many]
+def test_groups_of_any_size(spark):
+    """One scan for each anchor, a scan for each bin of it, and counting give the same bytes; groups list all places."""
+    line = prose(9, 60)
+    texts = [(k, prose(100 + k, 12) + line[k * 7 : 290 + k * 3] + prose(200 + k, 12)) for k in range(12)] + [(20, line), (21, line), (22, None), (23, "é" * 150)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    raws = [(t or "").encode() for _, t in texts]
+    want = {i: flags for (i, _), flags in zip(texts, covered(raws, 200), strict=True)}
+    for direct, members in ((1024, 4096), (1, 4096), (1, 1)):
+        rows, spans = suffixes.repeated_spans(docs, direct, members)
+        for r in rows.join(spans, "rk", "left").collect():
+            flags = np.zeros(len((r["text"] or "").encode()), bool)
+            for s, e in union_of(r["marks"], len(flags)):
+                flags[s:e] = True
+            assert (flags == want[r["doc_id"]]).all(), (direct, members, r["doc_id"])
+    groups, told = {}, {i: np.zeros(len(f), bool) for i, f in want.items()}
+    by_id = dict(zip((i for i, _ in texts), raws, strict=True))
+    for r in suffixes.repeat_groups(docs).collect():
+        assert r["length"] >= 200
+        groups.setdefault((r["anchor"], r["node"]), []).append((by_id[r["doc_id"]][r["start"] : r["start"] + r["length"]], r["doc_id"], r["start"]))
+        told[r["doc_id"]][r["start"] : r["start"] + r["length"]] = True
+    assert all((told[i] == want[i]).all() for i in want)
+    for places in groups.values():
+        (text,) = {p[0] for p in places}
+        everywhere = {(i, k) for i, raw in by_id.items() for k in range(len(raw)) if raw.startswith(text, k)}
+        assert {p[1:] for p in places} == everywhere
 
 
 def test_substring_dedup(spark, folder):
