@@ -59,6 +59,24 @@ def _flat(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
+def _shared(lcp: np.ndarray) -> np.ndarray:
+    """The longest prefix that each rank shares with any other of its group."""
+    return np.maximum(lcp, np.append(lcp[1:], -1))
+
+
+def _candidates(group: np.ndarray, left: np.ndarray, right: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows whose longest shared left and right contexts, with whichever partner, reach `need` together, how much each
+    shares to its left, and its place in the order of the left contexts: no other row is in a pair that reaches `need`, so the others leave the tree."""
+    ahead, after = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+    for side, most in ((right, after), (left, ahead)):
+        order, lcp = _array(group, side)
+        most[order] = np.maximum(_shared(lcp), 0)
+    place = np.empty(len(group), np.int64)
+    place[order] = np.arange(len(group))
+    kept = np.flatnonzero(ahead + after >= need)
+    return kept, ahead[kept], place[kept]
+
+
 def _array(group: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted within their groups, and their LCP array."""
     order = np.argsort(_flat(right), kind="stable")
@@ -75,13 +93,15 @@ def maximal_extents(group: np.ndarray, left: np.ndarray, right: np.ndarray, weig
     left: reversed left contexts, right: what follows the common part; as bytes + 1, padded with 0. weight: places of
     the row; with two or more, all of it is repeated.
     """
+    heavy = np.flatnonzero(weight >= 2)
+    out = list(zip(heavy.tolist(), (left[heavy] > 0).sum(1).tolist(), (right[heavy] > 0).sum(1).tolist(), strict=True))
+    kept, bound, place = _candidates(group, left, right, need)
+    group, left, right, weight = group[kept], left[kept], right[kept], weight[kept]
     order, lcp = _array(group, right)
-    flat = _flat(left)
     pairs = np.zeros(len(order), np.int64)  # what neighbours in the array share to their left
     pairs[1:] = _common(left[order[:-1]], left[order[1:]])
-    beside, depths = pairs.tolist(), lcp.tolist()
-    heavy = np.flatnonzero(weight >= 2)
-    out = list(zip(heavy.tolist(), (left[heavy] > 0).sum(1).tolist(), (right[heavy] > 0).sum(1).tolist(), strict=True))
+    beside, depths, rows = pairs.tolist(), lcp.tolist(), kept[order].tolist()
+    bound, place = bound[order], place[order]
     told = np.where(weight[order] >= 2, left.shape[1], -1)  # inner intervals come first: outer ones count only if they reach further left
     for depth, first, last in lcp_intervals(lcp):
         if last == first + 1:  # two suffixes, most of the intervals
@@ -90,16 +110,19 @@ def maximal_extents(group: np.ndarray, left: np.ndarray, right: np.ndarray, weig
                 for at in (first, last):
                     if most > told[at]:
                         told[at] = most
-                        out.append((int(order[at]), most, depth))
+                        out.append((rows[at], most, depth))
             continue
-        ranks = np.arange(first, last + 1)
-        ranks = ranks[np.argsort(flat[order[ranks]], kind="stable")]
+        most = bound[first : last + 1]
+        if not ((most > told[first : last + 1]) & (most + depth >= need)).any():  # nothing in it can still grow
+            continue
+        ranks = first + np.argsort(place[first : last + 1])
         own = order[ranks]
-        near = _common(left[own[:-1]], left[own[1:]])
-        most = np.maximum(np.append(near, 0), np.insert(near, 0, 0))  # the longest left extension that another shares
+        near = np.zeros(len(own) + 1, np.int64)
+        near[1:-1] = _common(left[own[:-1]], left[own[1:]])
+        most = np.maximum(near[:-1], near[1:])  # the longest left extension that another shares
         new = np.flatnonzero((most + depth >= need) & (most > told[ranks]))
         told[ranks[new]] = most[new]
-        out += zip(own[new].tolist(), most[new].tolist(), [depth] * len(new), strict=True)
+        out += zip(kept[own[new]].tolist(), most[new].tolist(), [depth] * len(new), strict=True)
     return out
 
 
