@@ -276,7 +276,9 @@ def extents(docs: DataFrame, direct: int = DIRECT, members: int = MEMBERS) -> tu
     everything = scanned
     if not large.isEmpty():
         everything = scanned.unionByName(_split(stored(contexts.join(large, "a", "left_semi"), "crowded"), members))
-    own = stored(everything.groupBy("a", "c").agg(F.collect_set(F.struct("low", "high")).alias("own")), "marks")
+    # All extents of an anchor hold its k-gram, so together they are one stretch.
+    reach = F.struct(F.min("low").alias("low"), F.max("high").alias("high"))
+    own = stored(everything.groupBy("a", "c").agg(F.array(reach).alias("own")), "marks")
     for table in (contexts, large, scanned):
         discard(table)
     release(spark)
