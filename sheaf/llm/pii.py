@@ -3,11 +3,12 @@
 The tagger is trained on labelled spans that `training_windows` writes from public formats: e-mail, IPv4, card and phone
 numbers as the patterns know them and as they don't (spelled-out at and dot, bracketed dots, national phone numbers,
 cards in groups with dots), and look-alikes without a label (dates, sums, book numbers, versions, hashes). A text is laid
-out in windows of `WINDOW` characters that overlap by half; those with a digit, an at sign or a spelled-out one are run
-through the network (each of the four kinds contains one, so other windows can hold none). Scores of overlapping windows
-are averaged with weights that fall towards window edges, and each chain of overlapping windows is decoded as one
-sequence, so that a span never ends at a window's edge. A decoded span is added if it overlaps no base span and has what
-its kind can't be without (a Luhn sum, four numbers up to 255, an at, enough digits).
+out in windows of `WINDOW` characters that overlap by half, and every window is run through the network. Scores of
+overlapping windows are averaged with weights that fall towards window edges, and each text is decoded as one sequence, so
+that a span never ends at a window's edge. Places where no best path can leave O are found first (`Tagger.outside`); what
+lies between them is decoded by itself, which gives the path of the whole text. A decoded span is added if it overlaps no
+base span and has what its kind can't be without (a Luhn sum, four numbers up to 255, an at, enough digits); stretches
+without a digit or an at can't hold such a span.
 
 Defined cases: null text counts as empty and gives no span; spans are in code points, end exclusive; of base matches
 those that fail their test are dropped without retries; repeated rows give repeated results; other columns are ignored.
@@ -37,7 +38,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{<] ?(?:at|AT) ?[)\]}>]| (?:dot|DOT) ")
+#: What every span has that `_substance` lets pass, and the characters of the shortest one.
+_NEEDED, _LEAST = re.compile(r"[0-9@]|at|AT"), 5
 _AT = re.compile(r"@|(?<![A-Za-z0-9])(?:at|AT)(?![A-Za-z0-9])")
 _DOT = re.compile(r"\.|(?<![A-Za-z0-9])(?:dot|DOT)(?![A-Za-z0-9])")
 
@@ -192,47 +194,71 @@ def trained() -> Tagger:
 _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)
 
 
-def tagged_spans(text: str, tagger: Tagger, block: int = 512) -> list[tuple[int, int, int]]:
-    """(start, kind, end) by the network, decoded over chains of overlapping windows, `block` windows at a time."""
-    windows: list[int] = []
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-    for m in _TRIGGER.finditer(text):
-        k = m.start() // STRIDE
-        for w in (k - 1, k):
-            if 0 <= w <= last and (not windows or w > windows[-1]):
-                windows.append(w)
-    found = []
-    while windows:
-        n = 1
-        while n < len(windows) and n < block and windows[n] == windows[n - 1] + 1:
-            n += 1
-        chain, more = windows[:n], n < len(windows) and windows[n] == windows[n - 1] + 1
-        start, end = chain[0] * STRIDE, min(len(text), chain[-1] * STRIDE + WINDOW)
-        ids = np.full((n, WINDOW), PAD, dtype=np.int8)
-        own = symbols(text[start:end])
-        for k in range(n):
-            piece = own[k * STRIDE : k * STRIDE + WINDOW]
-            ids[k, : len(piece)] = piece
-        scores = tagger.emissions(ids)
-        total, weight = np.zeros(((n + 1) * STRIDE, scores.shape[2])), np.zeros(((n + 1) * STRIDE, 1))
-        for k in range(n):
-            total[k * STRIDE : k * STRIDE + WINDOW] += scores[k] * _WEIGHT[:, None]
-            weight[k * STRIDE : k * STRIDE + WINDOW] += _WEIGHT[:, None]
-        path = tagger.decode((total / weight)[: end - start])
-        at = 0
-        while at < len(path):
-            if path[at]:
-                kind, e = (int(path[at]) - 1) // 2, at + 1
-                while e < len(path) and path[e] == 2 + 2 * kind:
-                    e += 1
-                found.append((start + at, kind, start + e))
-                at = e
-            else:
-                at += 1
-        windows = windows[n - 4 :] if more and n > 8 else windows[n:]  # very long chains: blocks overlap
+def _text_scores(texts: list[str], tagger: Tagger, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The averaged scores (labels, places) of texts laid end to end, each in whole steps of STRIDE, and the steps of each;
+    `block` windows go through the network at a time."""
+    steps = np.array([max(2, -(-len(t) // STRIDE)) for t in texts])
+    bounds = np.concatenate([[0], np.cumsum(steps)])
+    ids = np.full((bounds[-1], STRIDE), PAD, dtype=np.int8)
+    for k, t in enumerate(texts):
+        ids.reshape(-1)[bounds[k] * STRIDE :][: len(t)] = symbols(t)
+    first = np.delete(np.arange(bounds[-1]), bounds[1:] - 1)  # the step at which each window begins
+    total = np.zeros((len(tagger.p["o"]), bounds[-1], STRIDE), np.float32)
+    weight = np.zeros((bounds[-1], STRIDE), np.float32)
+    for at in range(0, len(first), block):
+        own = first[at : at + block]
+        scores = tagger.scored(np.concatenate([ids[own], ids[own + 1]], 1)).transpose(0, 2, 1)
+        for k in range(2):  # a step is the first half of one window and the second of another
+            half = _WEIGHT[k * STRIDE : (k + 1) * STRIDE].astype(np.float32)
+            total[:, own + k] += scores[:, :, k * STRIDE : (k + 1) * STRIDE] * half
+            weight[own + k] += half
+    total /= weight
+    return total.reshape(len(total), -1), bounds * STRIDE
+
+
+def tagged_spans(texts: list[str], tagger: Tagger, block: int = 1024) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) by the network for each text, without those that hold no digit and no at."""
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    filled = [k for k, t in enumerate(texts) if t]
+    at, owners, parts, waiting = 0, [], [], 0
+    while at < len(filled):  # as many texts at once as fill a block, a longer one alone
+        some, size = [], 0
+        while at < len(filled) and (not some or size + len(texts[filled[at]]) <= block * STRIDE):
+            some.append(filled[at])
+            size += len(texts[filled[at]])
+            at += 1
+        scores, bounds = _text_scores([texts[k] for k in some], tagger, block)
+        last = np.zeros(scores.shape[1], bool)
+        lengths = np.array([len(texts[k]) for k in some])
+        last[bounds[:-1] + lengths - 1] = True
+        free = ~tagger.outside(scores, last)
+        for k, low, n in zip(some, bounds[:-1].tolist(), lengths.tolist(), strict=True):
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free[low : low + n], [False]]).astype(np.int8)))
+            long = edges[1::2] - edges[::2] >= _LEAST
+            for s, e in zip(edges[::2][long].tolist(), edges[1::2][long].tolist(), strict=True):
+                if _NEEDED.search(texts[k], s, e):
+                    owners.append((k, s))
+                    parts.append((scores[:, low + s : low + e].T.copy(), -1 if s == 0 else 0, None if e == n else 0))
+                    waiting += e - s
+        if at == len(filled) or waiting > 400_000:
+            for (k, s), path in zip(owners, tagger.decode_parts(parts), strict=True):
+                found[k] += _spans_of(path, s)
+            owners, parts, waiting = [], [], 0
     return found
 
 
+def _spans_of(path: list[int], start: int) -> Iterator[tuple[int, int, int]]:
+    at = 0
+    while at < len(path):
+        e = at + 1
+        if path[at]:
+            kind = (path[at] - 1) // 2
+            while e < len(path) and path[e] == 2 + 2 * kind:
+                e += 1
+            yield start + at, kind, start + e
+        at = e
+
+
 def _substance(kind: int, span: str) -> bool:
     """Whether the span has what its kind can't be without."""
     digits = _digits(span)
@@ -256,15 +282,21 @@ def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
+def spans_of_texts(texts: list[str], tagger: Tagger) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """(base spans, base spans and those the network adds) of each text."""
+    for text, tagged in zip(texts, tagged_spans(texts, tagger), strict=True):
+        base = base_spans(text)
+        added: list[tuple[int, int, int]] = []
+        for s, k, e in tagged:
+            s, e = _trimmed(text, s, e)
+            if s < e and _substance(k, text[s:e]) and all(e <= bs or s >= be for bs, _, be in [*base, *added]):
+                added.append((s, k, e))
+        yield base, sorted([*base, *added])
+
+
 def all_spans(text: str, tagger: Tagger) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, base spans and those the network adds)."""
-    base = base_spans(text)
-    added: list[tuple[int, int, int]] = []
-    for s, k, e in sorted(set(tagged_spans(text, tagger))):
-        s, e = _trimmed(text, s, e)
-        if s < e and _substance(k, text[s:e]) and all(e <= bs or s >= be for bs, _, be in [*base, *added]):
-            added.append((s, k, e))
-    return base, sorted([*base, *added])
+    """`spans_of_texts` for one text."""
+    return next(spans_of_texts([text], tagger))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -290,9 +322,8 @@ def find(docs: DataFrame, tagger: Tagger | None = None, id_column: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, spans, texts = [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                own, every = all_spans(text, model) if _TRIGGER.search(text) else ([], [])
+            given = [text or "" for text in batch.column(1).to_pylist()]
+            for text, (own, every) in zip(given, spans_of_texts(given, model), strict=True):
                 base.append(joined(own))
                 spans.append(joined(every))
                 texts.append(redacted(text, every))
@@ -310,7 +341,9 @@ def cleaned(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or not _TRIGGER.search(t) else redacted(t, all_spans(t, model)[1]) for t in batch.column(at).to_pylist()]
+            given = batch.column(at).to_pylist()
+            found = spans_of_texts([t or "" for t in given], model)
+            texts = [None if t is None else redacted(t, every) for t, (_, every) in zip(given, found, strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)

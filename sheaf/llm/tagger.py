@@ -39,6 +39,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _logistic(minus: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)) in place."""
+    np.minimum(minus, 60, out=minus)
+    np.exp(minus, out=minus)
+    minus += 1
+    return np.reciprocal(minus, out=minus)
+
+
 def transitions_allowed() -> np.ndarray:
     """Inside k may only follow begin k or inside k."""
     allowed = np.ones((N_LABELS + 1, N_LABELS), dtype=bool)  # the last row is the start
@@ -52,6 +60,9 @@ def transitions_allowed() -> np.ndarray:
 class Tagger:
     """Parameters: symbol vectors, two LSTM cells, an output layer and transition scores."""
 
+    #: Places that `outside` looks ahead; fewer only leave more to decode.
+    AHEAD = 6
+
     def __init__(self, hidden: int = 16, width: int = 12, seed: int = 7):
         r = np.random.default_rng(seed)
         normal = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
@@ -88,6 +99,30 @@ class Tagger:
         scores = both @ self.p["O"] + self.p["o"]
         return (scores, (x, both, sf, sb)) if keep else scores
 
+    def scored(self, ids: np.ndarray) -> np.ndarray:
+        """The emissions of many sequences for reading, as (labels, length, n): the same sums as `emissions`, laid out so
+        that each step works on whole rows; a hyperbolic tangent is taken as a sigmoid of twice its argument."""
+        n, length = ids.shape
+        hidden, width = self.hidden, self.p["E"].shape[1]
+        sign = np.full((4 * hidden, 1), -1, np.float32)
+        sign[3 * hidden :] = -2
+        vectors, steps = np.ascontiguousarray(self.p["E"].T), np.ascontiguousarray(ids.T).astype(np.intp)
+        both, z = np.empty((2 * hidden, length, n), np.float32), np.empty((4 * hidden, n), np.float32)
+        for d, order, rows in (("f", range(length), slice(0, hidden)), ("b", range(length - 1, -1, -1), slice(hidden, 2 * hidden))):
+            w = np.ascontiguousarray(np.concatenate([self.p[f"W{d}"], self.p[f"c{d}"][None]]).T) * sign
+            x, c, out = np.zeros((width + hidden + 1, n), np.float32), np.zeros((hidden, n), np.float32), both[rows]
+            x[-1] = 1
+            for t in order:
+                x[:width] = vectors[:, steps[t]]
+                np.matmul(w, x, out=z)
+                _logistic(z)
+                c *= z[hidden : 2 * hidden]
+                c += z[:hidden] * (2 * z[3 * hidden :] - 1)
+                squashed = _logistic(-2 * c)
+                np.multiply(2 * squashed - 1, z[2 * hidden : 3 * hidden], out=x[width:-1])
+                out[:, t] = x[width:-1]
+        return (self.p["O"].T @ both.reshape(2 * hidden, -1)).reshape(N_LABELS, length, n) + self.p["o"][:, None, None]
+
     def scores(self) -> np.ndarray:
         return np.where(self.allowed, self.p["T"], np.float32(_FORBIDDEN))
 
@@ -105,6 +140,58 @@ class Tagger:
             path[k - 1] = back[k, path[k]]
         return path
 
+    def outside(self, emissions: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Places of sequences laid end to end (labels, length) where every best path has O; `last` flags their ends.
+
+        Were a path to have another label there, O in its place would score higher by more than all transitions that change
+        can cost. If the path goes on inside a span, the rest of the span becomes O up to some place, where a span of its
+        kind begins instead or its own one ends: `rest` bounds what that can cost from the next place on.
+        """
+        t, k = self.scores().astype(float), np.arange(len(KINDS))
+        starts = np.concatenate([[0], 1 + 2 * k])
+        gain = lambda x, y: max(0.0, np.where((x > _FORBIDDEN / 2) & (y > _FORBIDDEN / 2), x - y, 0).max())
+        ends = gain(t[1:-1, starts], t[:1, starts])
+        most = np.full(emissions.shape[1], ends, np.float32)
+        for b in 1 + 2 * k:
+            goes_on = max(t[b, b + 1], t[b + 1, b + 1])
+            begun = emissions[b + 1] - emissions[b] + np.float32(goes_on - t[0, b] + gain(t[b + 1], t[b]))
+            emptied = emissions[b + 1] - emissions[0] + np.float32(goes_on - t[0, 0])
+            rest = begun
+            for _ in range(self.AHEAD):
+                after = np.append(rest[1:], np.float32(0))
+                after[last] = 0
+                rest = np.minimum(begun, emptied + np.maximum(after, np.float32(ends)))
+            after = np.append(rest[1:], np.float32(0))
+            after[last] = 0
+            most = np.maximum(most, after)
+        return emissions[0] - emissions[1:].max(0) > most + np.float32(gain(t[:, 1:], t[:, :1]) + 1e-2)
+
+    def decode_parts(self, parts: list[tuple[np.ndarray, int, int | None]], together: int = 512) -> list[list[int]]:
+        """The best paths of many parts (emissions, label before or -1, label after or none), those of like length together."""
+        t, out = self.scores().astype(float), [[] for _ in parts]
+        order = sorted(range(len(parts)), key=lambda k: len(parts[k][0]))
+        while order:
+            size = max(1, min(together, 500_000 // len(parts[order[-1]][0])))
+            order, own = order[:-size], order[-size:]
+            lengths = np.array([len(parts[k][0]) for k in own])
+            e = np.zeros((len(own), lengths[-1], N_LABELS))
+            for row, k in enumerate(own):
+                e[row, : lengths[row]] = parts[k][0]
+            best, back = t[[parts[k][1] for k in own]] + e[:, 0], np.zeros(e.shape, np.int8)
+            for at in range(1, lengths[-1]):
+                row = int(np.searchsorted(lengths, at, "right"))  # shorter parts have ended
+                step = best[row:, :, None] + t[:-1]
+                back[row:, at] = step.argmax(1)
+                best[row:] = step.max(1) + e[row:, at]
+            for row, k in enumerate(own):
+                n, after = int(lengths[row]), parts[k][2]
+                label, ways, path = int((best[row] if after is None else best[row] + t[:-1, after]).argmax()), back[row].tolist(), []
+                for at in range(n - 1, -1, -1):
+                    path.append(label)
+                    label = ways[at][label]
+                out[k] = path[::-1]
+        return out
+
     # training
 
     def _crf(self, e: np.ndarray, y: np.ndarray):

@@ -48,3 +48,32 @@ def test_long_runs_of_digits_take_linear_time():
     began = time.perf_counter()
     assert pii.base_spans("1" * 1_000_000) == [] and pii.base_spans("1.1.1." * 100_000)
     assert time.perf_counter() - began < 5
+
+
+def plain_path(text, tagger):
+    """The best path of the whole text, from the scores of all its windows."""
+    n = max(0, -(-(len(text) - pii.WINDOW) // pii.STRIDE)) + 1
+    symbols, total, weight = np.full((n + 1) * pii.STRIDE, pii.PAD, np.int8), np.zeros(((n + 1) * pii.STRIDE, 9)), np.zeros(((n + 1) * pii.STRIDE, 1))
+    symbols[: len(text)] = pii.symbols(text)
+    starts = [k * pii.STRIDE for k in range(n)]
+    for s, scores in zip(starts, tagger.emissions(np.stack([symbols[s : s + pii.WINDOW] for s in starts])), strict=True):
+        total[s : s + pii.WINDOW] += scores * pii._WEIGHT[:, None]
+        weight[s : s + pii.WINDOW] += pii._WEIGHT[:, None]
+    return tagger.decode((total / weight)[: len(text)]).tolist()
+
+
+def test_every_window_is_looked_at():
+    """Spellings without a digit, an at sign or a bracketed at, alone, far from anything else, and across block edges."""
+    tagger = pii.trained()
+    for text in ("write to jo at example.org or call", "jo at ex[dot]org please answer", "renn tole uder " * 40 + "jo at example.org" + " sut kell on thate" * 40):
+        assert [(text[s:e].count(" at ") or "[dot]" in text[s:e], k) for s, k, e in pii.all_spans(text, tagger)[1]] == [(1, 0)], text
+    w = pii._Writer(31)
+    texts = ["", "a"]
+    for _ in range(60):
+        parts = [w.pick((w.word, w.word, w.word, w.other, w.email, w.ip, w.card, w.phone))() for _ in range(int(w.r.integers(1, 150)))]
+        texts.append(w.pick((" ", ", ", ". ")).join(parts))
+    holds = lambda text, s, e: e - s >= pii._LEAST and pii._NEEDED.search(text, s, e)
+    want = [[x for x in pii._spans_of(plain_path(t, tagger), 0) if holds(t, x[0], x[2])] if t else [] for t in texts]
+    assert sum(map(len, want)) > 500
+    for block in (1024, 3):
+        assert [[x for x in own if holds(t, x[0], x[2])] for t, own in zip(texts, pii.tagged_spans(texts, tagger, block), strict=True)] == want
