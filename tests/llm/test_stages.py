@@ -93,3 +93,10 @@ def test_run_and_empty_tables(spark, folder):
             at += length
         assert at <= 2048
     assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+
+
+def test_redaction_looks_at_every_window(spark):
+    """Texts without a digit, an at sign or a bracketed at are run through the network too."""
+    docs = spark.createDataFrame([(1, "write to jo at example.org or call", 34), (2, None, 0), (3, "", 0)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_personal_data(spark, docs, "").collect()}
+    assert "[EMAIL]" in got[1] and "example.org" not in got[1] and got[2] is None and got[3] == ""
