@@ -8,7 +8,7 @@ equal places, and about 2 in `span` positions are anchors. The context of an anc
 2. For other contexts one representative each is read again. Their windows are dealt to bins of neighbouring starts; a
    bin whose common part is unique holds no repeat, a bin whose whole extent occurs twice is all repeated.
 3. What is left (bins that agree in their common part only) is resolved by the operator's own method, over groups of
-   bounded size, or by counting windows, which works for groups of any size.
+   bounded size, or by counting ever finer bins, which works for groups of any size.
 
 Hashes are 64 bits of k-gram and 64 bits of content, compared together. Rows of equal doc_id and text count as separate
 occurrences. No step has all occurrences of a key in one task; joins on keys are left to skew handling.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -254,11 +255,53 @@ def window_table(left_over: DataFrame, scheme: Scheme) -> DataFrame:
     return left_over.select("a", "c", "nu", "left", "ctx", "low", "high").mapInArrow(_windows(scheme), WINDOWS)
 
 
-def counted_windows(left_over: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, c, low, high) of each window that occurs twice: for groups of any size."""
-    windows = window_table(left_over, scheme)
-    twice = windows.groupBy("a", "d", "edge").agg(F.sum("nu").alias("n")).where("n >= 2").select("a", "d", "edge")
-    return windows.join(twice, ["a", "d", "edge"], "left_semi").select("a", "c", F.col("d").alias("low"), (F.col("d") + scheme.width).cast("int").alias("high"))
+def _cut_bins(scheme: Scheme, size: int, finer: int):
+    """The rows of bins of `size` starts, dealt to bins of `finer` starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = scheme.width
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hashed, bounds, at = _laid_out(batch, scheme)
+            for k in range(size // finer):
+                b = batch.column("bin").to_numpy(zero_copy_only=False).astype(np.int64) * (size // finer) + k
+                first, last = at - (b + 1) * finer + 1, at - b * finer
+                low, high = np.maximum(np.maximum(first, bounds[:-1]), at - scheme.span + 1), np.minimum(last, bounds[1:] - width)
+                ok = np.flatnonzero(low <= high)
+                if not len(ok):
+                    continue
+                low, high, mid, rows = low[ok], high[ok], at[ok], pa.array(ok)
+                common = hashed.stretch(last[ok], first[ok] + width)
+                whole = mix(hashed.stretch(low, high + width) + (mid - low).astype(_U) * _C3)
+                yield pa.record_batch([batch.column("a").take(rows), batch.column("c").take(rows), batch.column("nu").take(rows), pa.array(b[ok].astype(np.int32)), _long(common), _long(whole), pa.array((low - mid).astype(np.int32)), pa.array((high + width - mid).astype(np.int32))], names=["a", "c", "nu", "bin", "ik", "uk", "low", "high"])
+
+    return run
+
+
+def counted_windows(large: DataFrame, contexts: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, c, low, high) of stretches that cover the windows that occur twice, for groups of any size.
+
+    Bins (a, c, nu, bin, left, ctx) are cut into finer ones, down to single windows. A finer bin that occurs twice as a
+    whole is a stretch; those that agree in their common part only are cut again, one of equal ones for all of them.
+    """
+    rows, size, found = large.select("a", "c", "nu", "bin", "left", "ctx"), scheme.bin, []
+    while size > 1:
+        finer = size // 2 if size % 2 == 0 else 1
+        parts = stored(rows.mapInArrow(_cut_bins(scheme, size, finer), "a long, c long, nu long, bin int, ik long, uk long, low int, high int"), "parts")
+        kinds = stored(parts.groupBy(*KEY, "uk").agg(F.sum("nu").alias("n"), F.min("c").alias("c")), "kinds")
+        twice = kinds.where("n >= 2").select(*KEY, "uk")
+        found.append(stored(parts.join(twice, [*KEY, "uk"], "left_semi").select("a", "c", "low", "high"), "found"))
+        several = kinds.groupBy(*KEY).agg(F.count(F.lit(1)).alias("kinds")).where("kinds >= 2").select(*KEY)
+        unclear = stored(kinds.join(several, KEY, "left_semi").select("a", "c", F.col("n").alias("nu"), "bin"), "unclear")
+        for table in (parts, kinds):
+            discard(table)
+        release(large.sparkSession)
+        size = finer
+        if unclear.isEmpty():
+            break
+        rows = unclear.join(contexts.select("a", "c", "left", "ctx"), ["a", "c"])
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeated_anchors(rows: DataFrame, scheme: Scheme) -> DataFrame:
