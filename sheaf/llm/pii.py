@@ -3,12 +3,12 @@
 The tagger is trained on labelled spans that `training_windows` writes from public formats: e-mail, IPv4, card and phone
 numbers as the patterns know them and as they don't (spelled-out at and dot, bracketed dots, national phone numbers,
 cards in groups with dots), and look-alikes without a label (dates, sums, book numbers, versions, hashes). A text is laid
-out in windows of `WINDOW` characters that overlap by half, and every window is run through the network. Scores of
-overlapping windows are averaged with weights that fall towards window edges, and each text is decoded as one sequence, so
-that a span never ends at a window's edge. Places where no best path can leave O are found first (`Tagger.outside`); what
-lies between them is decoded by itself, which gives the path of the whole text. A decoded span is added if it overlaps no
-base span and has what its kind can't be without (a Luhn sum, four numbers up to 255, an at, enough digits); stretches
-without a digit or an at can't hold such a span.
+out in windows of `WINDOW` characters that overlap by half. Scores of overlapping windows are averaged with weights that
+fall towards window edges, and each text is decoded as one sequence, so that a span never ends at a window's edge. A
+decoded span is added if it overlaps no base span and has what its kind can't be without (a Luhn sum, four numbers up to
+255, an at, enough digits). Windows are run from the places of which such a span holds one (`_places`) outwards, until
+places where no best path can leave O (`Tagger.outside`) lie on either side; what is between them is decoded by itself,
+which gives the path of the whole text there. So the spans are those of running every window.
 
 Defined cases: null text counts as empty and gives no span; spans are in code points, end exclusive; of base matches
 those that fail their test are dropped without retries; repeated rows give repeated results; other columns are ignored.
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .tagger import KINDS, PAD, Tagger, symbols
 
 WINDOW = 64
 STRIDE = WINDOW // 2
+#: Characters of the short texts whose scores are worked out together.
+TOGETHER = 1 << 20
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # matches begin where a run of digits does: starts within a run, which only cost time, are left out
@@ -41,6 +45,8 @@ _DIGIT = re.compile(r"[0-9]")
 #: What every span has that `_substance` lets pass, and the characters of the shortest one.
 _NEEDED, _LEAST = re.compile(r"[0-9@]|at|AT"), 5
 _AT = re.compile(r"@|(?<![A-Za-z0-9])(?:at|AT)(?![A-Za-z0-9])")
+#: From the first to the last digit of a stretch without letters.
+_NUMBERS = re.compile(r"[0-9][^A-Za-z]*[0-9]")
 _DOT = re.compile(r"\.|(?<![A-Za-z0-9])(?:dot|DOT)(?![A-Za-z0-9])")
 
 
@@ -194,52 +200,112 @@ def trained() -> Tagger:
 _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)
 
 
-def _text_scores(texts: list[str], tagger: Tagger, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The averaged scores (labels, places) of texts laid end to end, each in whole steps of STRIDE, and the steps of each;
-    `block` windows go through the network at a time."""
-    steps = np.array([max(2, -(-len(t) // STRIDE)) for t in texts])
-    bounds = np.concatenate([[0], np.cumsum(steps)])
-    ids = np.full((bounds[-1], STRIDE), PAD, dtype=np.int8)
-    for k, t in enumerate(texts):
-        ids.reshape(-1)[bounds[k] * STRIDE :][: len(t)] = symbols(t)
-    first = np.delete(np.arange(bounds[-1]), bounds[1:] - 1)  # the step at which each window begins
-    total = np.zeros((len(tagger.p["o"]), bounds[-1], STRIDE), np.float32)
-    weight = np.zeros((bounds[-1], STRIDE), np.float32)
-    for at in range(0, len(first), block):
-        own = first[at : at + block]
-        scores = tagger.scored(np.concatenate([ids[own], ids[own + 1]], 1)).transpose(0, 2, 1)
-        for k in range(2):  # a step is the first half of one window and the second of another
-            half = _WEIGHT[k * STRIDE : (k + 1) * STRIDE].astype(np.float32)
-            total[:, own + k] += scores[:, :, k * STRIDE : (k + 1) * STRIDE] * half
-            weight[own + k] += half
-    total /= weight
-    return total.reshape(len(total), -1), bounds * STRIDE
-
-
-def tagged_spans(texts: list[str], tagger: Tagger, block: int = 1024) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) by the network for each text, without those that hold no digit and no at."""
+class _Scores:
+    """The averaged scores of texts laid end to end, each in whole steps of STRIDE, worked out step by step as they are
+    asked for: those of a step need the one or two windows over it. `block` windows go through the network at a time."""
+
+    def __init__(self, texts: list[str], tagger: Tagger, block: int):
+        self.tagger, self.block = tagger, block
+        self.lengths = np.array([len(t) for t in texts])
+        steps = np.maximum(2, -(-self.lengths // STRIDE))
+        self.bounds = np.concatenate([[0], np.cumsum(steps)])
+        n = int(self.bounds[-1])
+        self.owner = np.repeat(np.arange(len(texts)), steps)
+        self.ids = np.full((n, STRIDE), PAD, dtype=np.int8)
+        for k, t in enumerate(texts):
+            self.ids.reshape(-1)[self.bounds[k] * STRIDE :][: len(t)] = symbols(t)
+        self.first, self.last = np.zeros(n, bool), np.zeros(n, bool)
+        self.first[self.bounds[:-1]] = self.last[self.bounds[1:] - 1] = True
+        self.total = np.zeros((len(tagger.p["o"]), n, STRIDE), np.float32)
+        self.weight = np.zeros((n, STRIDE), np.float32)
+        self.run, self.known = self.last.copy(), np.zeros(n, bool)  # windows by their first step: none begins at a text's last
+
+    def learn(self, steps: np.ndarray) -> None:
+        """Run the windows that these steps still lack."""
+        windows = np.union1d(steps, steps[~self.first[steps]] - 1)
+        windows = windows[~self.run[windows]]
+        for at in range(0, len(windows), self.block):
+            own = windows[at : at + self.block]
+            scores = self.tagger.scored(np.concatenate([self.ids[own], self.ids[own + 1]], 1)).transpose(0, 2, 1)
+            for k in range(2):  # a step is the first half of one window and the second of another
+                half = _WEIGHT[k * STRIDE : (k + 1) * STRIDE].astype(np.float32)
+                self.total[:, own + k] += scores[:, :, k * STRIDE : (k + 1) * STRIDE] * half
+                self.weight[own + k] += half
+        self.run[windows] = True
+        self.known[steps] = True
+
+    def stretches(self, wanted: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the stretches of open texts between places where every best path has O, those with a place that `wanted`
+        flags: where in the scores they begin and end, and the scores, the places and the steps that they lack. A step
+        whose scores are not known counts as one whose path may be inside any span."""
+        known = self.known & open_[self.owner]
+        shown = known.copy()
+        shown[:-1] |= known[1:] & ~self.first[1:]
+        shown[1:] |= known[:-1] & ~self.first[1:]
+        steps = np.flatnonzero(shown)
+        scores = self.total[:, steps] / np.maximum(self.weight[steps], np.float32(1e-6))
+        dark = ~self.known[steps]
+        scores[:, dark] = 0
+        scores[2::2, dark] = _UNKNOWN
+        scores = scores.reshape(len(scores), -1)
+        places = (steps[:, None] * STRIDE + np.arange(STRIDE)).reshape(-1)
+        inside = places - np.repeat(self.bounds[self.owner[steps]], STRIDE) * STRIDE
+        own = np.repeat(self.lengths[self.owner[steps]], STRIDE)
+        free = ~self.tagger.outside(scores, inside == own - 1) & (inside < own)
+        cut = np.zeros(len(free), bool)  # where another text, or another part of the same, begins
+        cut[::STRIDE] = self.first[steps] | (np.diff(steps, prepend=-2) != 1)
+        begin = np.flatnonzero(free & (cut | ~np.concatenate([[False], free[:-1]])))
+        end = np.flatnonzero(free & np.append(cut[1:] | ~free[1:], True)) + 1
+        held = np.concatenate([[0], np.cumsum(wanted[places])])
+        hot = held[end] > held[begin]
+        begin, end = begin[hot], end[hot]
+        lacks = [s for b, e in zip(begin // STRIDE, -(-end // STRIDE), strict=True) for s in range(b, e) if dark[s]]
+        return begin, end, scores, places, np.unique(steps[lacks])
+
+
+#: A score for labels inside spans that no network gives.
+_UNKNOWN = np.float32(1e6)
+
+
+def tagged_spans(texts: list[str], tagger: Tagger, block: int = 1024, places: list[list[int]] | None = None) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) by the network for each text, as far as spans hold one of the text's `places` (without them: a
+    digit or an at); of other spans some come too.
+
+    The paths are those of all windows of the text: scores are worked out around the places, and further on until places
+    where every best path has O bound what has to be decoded.
+    """
+    if places is None:
+        places = [[m.start() for m in _NEEDED.finditer(t)] for t in texts]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    filled = [k for k, t in enumerate(texts) if t]
+    filled = [k for k, own in enumerate(places) if own]
     at, owners, parts, waiting = 0, [], [], 0
     while at < len(filled):  # as many texts at once as fill a block, a longer one alone
-        some, size = [], 0
-        while at < len(filled) and (not some or size + len(texts[filled[at]]) <= block * STRIDE):
-            some.append(filled[at])
+        some, size, wanted = [], 0, 0
+        while at < len(filled):
             size += len(texts[filled[at]])
+            wanted += len({p // STRIDE for p in places[filled[at]]})
+            if some and (wanted > block or size > TOGETHER):
+                break
+            some.append(filled[at])
             at += 1
-        scores, bounds = _text_scores([texts[k] for k in some], tagger, block)
-        last = np.zeros(scores.shape[1], bool)
-        lengths = np.array([len(texts[k]) for k in some])
-        last[bounds[:-1] + lengths - 1] = True
-        free = ~tagger.outside(scores, last)
-        for k, low, n in zip(some, bounds[:-1].tolist(), lengths.tolist(), strict=True):
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], free[low : low + n], [False]]).astype(np.int8)))
-            long = edges[1::2] - edges[::2] >= _LEAST
-            for s, e in zip(edges[::2][long].tolist(), edges[1::2][long].tolist(), strict=True):
-                if _NEEDED.search(texts[k], s, e):
-                    owners.append((k, s))
-                    parts.append((scores[:, low + s : low + e].T.copy(), -1 if s == 0 else 0, None if e == n else 0))
-                    waiting += e - s
+        known = _Scores([texts[k] for k in some], tagger, block)
+        flags = np.zeros(known.bounds[-1] * STRIDE, bool)
+        for k, low in zip(some, (known.bounds * STRIDE).tolist(), strict=False):
+            flags[np.array(places[k]) + low] = True
+        lacking = np.flatnonzero(flags.reshape(-1, STRIDE).any(1))
+        open_ = np.ones(len(some), bool)
+        while len(lacking):
+            known.learn(lacking)
+            begin, end, scores, where, lacking = known.stretches(flags, open_)
+            open_[:] = False
+            open_[known.owner[lacking]] = True
+            own = known.owner[where[begin] // STRIDE]
+            done = (end - begin >= _LEAST) & ~open_[own]
+            for b, e, text in zip(begin[done].tolist(), end[done].tolist(), own[done].tolist(), strict=True):
+                k, s = some[text], int(where[b] - known.bounds[text] * STRIDE)
+                owners.append((k, s))
+                parts.append((scores[:, b:e].T.copy(), -1 if s == 0 else 0, None if s + e - b == len(texts[k]) else 0))
+                waiting += e - b
         if at == len(filled) or waiting > 400_000:
             for (k, s), path in zip(owners, tagger.decode_parts(parts), strict=True):
                 found[k] += _spans_of(path, s)
@@ -282,10 +348,27 @@ def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
+def _places(text: str, base: list[tuple[int, int, int]]) -> list[int]:
+    """Places of which every span that can be added holds one: outside base spans, an at, or, for the kinds without
+    letters, digits of a stretch without letters that has four numbers or seven digits; four digits in turn stand for
+    each other, as such a span has four or more."""
+    ats, out, done = [m.start() for m in _AT.finditer(text)], [], 0
+    for s, _, e in [*base, (len(text), 0, len(text))]:
+        if done < s:
+            out += ats[bisect_left(ats, done) : bisect_left(ats, s)]
+            for m in _NUMBERS.finditer(text, done, s):
+                digits = [x.start() for x in _DIGIT.finditer(text, *m.span())]
+                if len(digits) >= 7 or len(digits) >= 4 and sum(b > a + 1 for a, b in pairwise(digits)) >= 3:
+                    out += digits[3::4]
+        done = max(done, e)
+    return out
+
+
 def spans_of_texts(texts: list[str], tagger: Tagger) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, base spans and those the network adds) of each text."""
-    for text, tagged in zip(texts, tagged_spans(texts, tagger), strict=True):
-        base = base_spans(text)
+    bases = [base_spans(text) for text in texts]
+    places = [_places(text, base) for text, base in zip(texts, bases, strict=True)]
+    for text, base, tagged in zip(texts, bases, tagged_spans(texts, tagger, places=places), strict=True):
         added: list[tuple[int, int, int]] = []
         for s, k, e in tagged:
             s, e = _trimmed(text, s, e)

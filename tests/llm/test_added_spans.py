@@ -77,3 +77,24 @@ def test_every_window_is_looked_at():
     assert sum(map(len, want)) > 500
     for block in (1024, 3):
         assert [[x for x in own if holds(t, x[0], x[2])] for t, own in zip(texts, pii.tagged_spans(texts, tagger, block), strict=True)] == want
+
+
+def test_prose_costs_few_windows_and_no_span(monkeypatch):
+    """Only what can hold a span is scored, and the spans are those of the whole text's paths."""
+    tagger, w, run = pii.trained(), pii._Writer(41), []
+    scored = type(tagger).scored
+    monkeypatch.setattr(type(tagger), "scored", lambda self, ids: run.append(len(ids)) or scored(self, ids))
+    prose = "renn tole uder the minas of atha, beld orine. sut kell on thate uren and wole dorin " * 40
+    texts = [prose + "write to jo at example.org or call 974-555-3436 now " + prose, prose + "mail jo@example.org, born 2024-01-02 " + prose, "at", "974-555-3436"]
+    for _ in range(60):
+        parts = [w.pick((w.word,) * 12 + (w.other, w.email, w.ip, w.card, w.phone))() for _ in range(int(w.r.integers(1, 200)))]
+        texts.append(w.pick((" ", ", ", ". ", "")).join(parts))
+    assert [len(every) - len(base) for base, every in pii.spans_of_texts(texts[:2], tagger)] == [2, 0]
+    assert sum(run) < 0.1 * sum(len(t) / pii.STRIDE for t in texts[:2])
+    for text, (base, every) in zip(texts, pii.spans_of_texts(texts, tagger), strict=True):
+        want = list(base)
+        for s, k, e in pii._spans_of(plain_path(text, tagger), 0):
+            s, e = pii._trimmed(text, s, e)
+            if s < e and pii._substance(k, text[s:e]) and all(e <= b or s >= c for b, _, c in base):
+                want.append((s, k, e))
+        assert every == sorted(want)
