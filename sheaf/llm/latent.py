@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stored, unused
+from .common import discard, lean, small_batches, stored, unused
 from .repeats import _U, _blocks, texts_of, word_symbols
 
 WINDOW, RANK, OVERSAMPLE = 48, 64, 16
@@ -102,7 +102,7 @@ def numbered(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "words"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, words binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(lean(run), "doc_id long, words binary")
 
 
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def passage_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
         yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(counts[k])], names=["k", "n"])
 
     counts = np.zeros(size + 1)
-    for r in table.select("words").mapInArrow(run, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in table.select("words").mapInArrow(lean(run), "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
         counts[r["k"]] = r["n"]
     return counts, int(counts[0])
 
@@ -185,7 +185,7 @@ def singular_vectors(table: DataFrame, weights: np.ndarray, seed: int = 5) -> np
         k = np.flatnonzero(np.abs(total).sum(1))
         yield pa.record_batch([pa.array(k.astype(np.int32)), *[pa.array(total[k, j]) for j in range(l)]], names=["k", *names])
 
-    summed = table.select("words").mapInArrow(run, "k int, " + ", ".join(f"{x} double" for x in names)).groupBy("k").agg(*[F.sum(x).alias(x) for x in names])
+    summed = table.select("words").mapInArrow(lean(run), "k int, " + ", ".join(f"{x} double" for x in names)).groupBy("k").agg(*[F.sum(x).alias(x) for x in names])
     product = np.zeros((size, l))
     for r in summed.collect():
         product[r["k"]] = [r[x] for x in names]
@@ -351,7 +351,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
         weights = np.where(counts > 0, np.log((passages + 1) / (counts + 0.5)), 0)  # words that no document has find nothing
         weights[0] = 0
         vectors = singular_vectors(table, weights)
-        hits = stored(table.mapInArrow(_searched(items, weights, vectors), RESULT), "hits")
+        hits = stored(table.mapInArrow(lean(_searched(items, weights, vectors)), RESULT), "hits")
         discard(table)
         found = hits if found is None else found.unionByName(hits)
     return spark.createDataFrame([], RESULT) if found is None else found

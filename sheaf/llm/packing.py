@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import lean, small_batches, stored
 
 CAPACITY = 2048
 SHARD_ROWS = 40_000
@@ -86,7 +86,7 @@ def _tokenised(tokenizer_path: str, end_id: int, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenised(tokenizer_path, end_id, capacity), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_tokenised(tokenizer_path, end_id, capacity)), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -196,7 +196,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHAR
     for level in range(levels):
         n, tokens = rest.agg(F.count(F.lit(1)), F.sum("length")).first()
         shards = max(1, -(-n // shard_rows))
-        now = stored(rest.repartition(shards).mapInArrow(_packed(level, capacity), PACKED), "packed")
+        now = stored(rest.repartition(shards).mapInArrow(lean(_packed(level, capacity)), PACKED), "packed")
         full = now.where(F.col("_fill") >= capacity) if shards > 1 else now
         done = full if done is None else done.unionByName(full)
         if shards == 1:

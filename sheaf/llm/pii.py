@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 from .tagger import KINDS, PAD, Tagger, symbols
 
 WINDOW = 64
@@ -412,7 +412,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None, id_column: str = "doc_id
                 texts.append(redacted(text, every))
             yield pa.record_batch([batch.column(0), pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(texts, pa.string())], names=["_id", "base", "spans", "redacted"])
 
-    out = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).mapInArrow(run, f"_id {kind}, base string, spans string, redacted string")
+    out = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).mapInArrow(lean(run), f"_id {kind}, base string, spans string, redacted string")
     return out.withColumnRenamed("_id", id_column)
 
 
@@ -429,7 +429,7 @@ def cleaned(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
             texts = [None if t is None else redacted(t, every) for t, (_, every) in zip(given, found, strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

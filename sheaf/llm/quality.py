@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import lean, small_batches, stored
 
 THRESHOLD = 0.7
 NAMES = ("words", "word_chars", "upper", "digits", "stops", "commas", "pipes", "marks", "loud", "lines", "distinct", "top_word", "repeated_lines", "capital_words", "short_words", "other")
@@ -61,7 +61,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_features), "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,7 @@ def fit(rows: DataFrame, shrink: float = 0.2, ridge: float = 0.02) -> Discrimina
         c, k = np.nonzero(sums)
         yield pa.record_batch([pa.array(c, pa.int32()), pa.array(k, pa.int32()), pa.array(sums[c, k])], names=["c", "k", "v"])
 
-    total = rows.select(F.col("label").cast("int"), "x").mapInArrow(moments, "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).collect()
+    total = rows.select(F.col("label").cast("int"), "x").mapInArrow(lean(moments), "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).collect()
     sums = np.zeros((2, 1 + d + len(pairs)))
     for r in total:
         sums[r["c"], r["k"]] = r["v"]
@@ -139,7 +139,7 @@ def scored(table: DataFrame, model: Discriminant | Constant) -> DataFrame:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
             yield pa.record_batch([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return table.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return table.select("doc_id", "x").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def held_out(column: str = "doc_id"):
@@ -164,7 +164,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 x = np.stack([statistics(t) for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
