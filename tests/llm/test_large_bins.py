@@ -38,6 +38,7 @@ def test_equal_parts_of_a_bin_are_looked_at_once(spark, monkeypatch):
     letters = lambda k: "".join(chr(97 + c) for c in r.integers(0, 26, k))
     heads, line, tails = [letters(30) for _ in range(4)], letters(300), [letters(30) for _ in range(4)]
     texts = [letters(60) + heads[k % 4] + line + tails[k // 4 % 4] + letters(20 + k) for k in range(96)]
+    texts += [texts[0], texts[5]]
     texts += [letters(50) + line[k : 215 + k] + letters(50) for k in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     handed, dealt, resolve = [], [], suffixes.resolve
