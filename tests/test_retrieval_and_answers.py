@@ -167,3 +167,48 @@ def test_service(spark):
     server.shutdown()
     with pytest.raises(RuntimeError):
         answers.ChatClient("http://127.0.0.1:9", "m", timeout=1).complete([])
+
+
+def test_vector_search_holds_a_tile_of_scores():
+    """Three batches of vectors with many copies against 4000 queries: all scores at once would be 128 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    m = r.normal(size=(4000, 16))
+    m[1000:3000] = m[999]
+    m[3500:] = m[:500]
+    batches = [pa.record_batch([pa.array([f"c{i}" for i in part]), pa.array(part), pa.array(m[part].tolist())], names=["chunk_id", "corpus_ord", "vec"]) for part in np.array_split(r.permutation(4000), 3)]
+    tracemalloc.start()
+    got = pa.Table.from_batches(vectors._searched(m, np.arange(4000), pa.int64(), 5)(iter(batches))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    exact = (m[::97][:, None].astype(np.longdouble) * m[None]).sum(axis=2).astype(float)
+    for q, own in zip(range(0, 4000, 97), exact, strict=True):
+        best = sorted(range(4000), key=lambda k: (-own[k], k))[:5]
+        assert sorted(got[got["qid"] == q].sort_values(["score", "corpus_ord"], ascending=[False, True])["corpus_ord"]) == sorted(best)
+
+
+def test_lsh_pairs_are_not_joined(spark):
+    """The join of the library gives the same neighbours; here no row leaves a task but the k best of each query."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(2)
+    m = r.normal(size=(60, 6))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[9], m[20] = m[4], -m[4]
+    table = spark.createDataFrame([(f"c{k}", k, v.tolist()) for k, v in enumerate([*m, m[4]])] + [("c4", 4, m[4].tolist())], "chunk_id string, corpus_ord int, vec array<double>")
+    asked = table.where("corpus_ord % 4 = 0").selectExpr("chunk_id as qid", "vec")
+    for bucket, tables in ((1.0, 12), (0.2, 2)):
+        lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42)
+        left, right = asked.withColumn("v", array_to_vector("vec")), table.withColumn("v", array_to_vector("vec"))
+        near = lsh.fit(right).approxSimilarityJoin(left, right, 2.0, "distance")
+        want = vectors.ranked(near.select("datasetA.qid", "datasetB.chunk_id", "datasetB.corpus_ord", (1 - F.col("distance") ** 2 / 2).alias("score")), 5)
+        out = vectors.vector_lsh(asked, table, 5, bucket, tables)
+        rows = lambda df: sorted((x["qid"], x["rank"], x["chunk_id"], round(x["score"], 9)) for x in df.collect())
+        assert rows(out) == rows(want)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().toString() and "Generate" not in out._jdf.queryExecution().toString()
