@@ -116,13 +116,14 @@ def _searched(block: np.ndarray, ids: np.ndarray, kind: pa.DataType, k: int, sco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(ids), k), -np.inf)
-        places, names, schema = np.zeros(best.shape, np.int64), np.full(best.shape, None, object), None
+        places, names, schema = None, np.full(best.shape, None, object), None
         for batch in batches:
             schema = batch.schema
             if not batch.num_rows or not len(ids):
                 continue
             own, place = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column("corpus_ord").to_numpy(zero_copy_only=False)
             at = _first_copies(own, np.argsort(place, kind="stable"), k)
+            places = np.full(best.shape, place[0], place.dtype) if places is None else places
             own, place, name = own[at], place[at], np.array([*batch.column("chunk_id").take(pa.array(at)).to_pylist(), None], object)[:-1]
             step = max(1, SCORE_BYTES // (8 * len(own)))
             for low in range(0, len(ids), step):
@@ -144,7 +145,7 @@ def _searched(block: np.ndarray, ids: np.ndarray, kind: pa.DataType, k: int, sco
                 order = np.lexsort((every_p, -every_s, every_q))
                 top = order[np.searchsorted(every_q[order], rows)[:, None] + np.arange(k)]
                 best[mine], places[mine], names[mine] = every_s[top], every_p[top], every_n[top]
-        for low in range(0, len(ids) if schema else 0, 65536 // k + 1):
+        for low in range(0, 0 if places is None else len(ids), 65536 // k + 1):
             q, r = np.nonzero(best[low : low + 65536 // k + 1] > -np.inf)
             q += low
             columns = [pa.array(ids[q], kind), pa.array(names[q, r], schema.field("chunk_id").type), pa.array(places[q, r], schema.field("corpus_ord").type), pa.array(best[q, r])]
