@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ KS = (1, 3, 5, 10)
 THRESHOLD, PHRASE_LENGTH = 0.6, 10
 Z = {0.90: 1.6449, 0.95: 1.9600, 0.99: 2.5758}
 SEED, RESAMPLES = 20260731, 2000
+#: Random numbers that a task draws at once.
+DRAWS = 1 << 18
 OUTCOMES = ("correct", "incorrect", "correct_abstention", "unjustified_abstention")
 
 
@@ -124,36 +128,88 @@ def wilson(successes: Column, n: Column, level: float = 0.95) -> Column:
     return F.when(n > 0, F.struct(p.alias("point"), F.greatest((middle - root) / below, F.lit(0.0)).alias("low"), F.least((middle + root) / below, F.lit(1.0)).alias("high"), F.lit(level).alias("level")))
 
 
-def bootstrap(values: list[float], level: float = 0.95, resamples: int = RESAMPLES, seed: int = SEED, proportion: bool | None = None) -> tuple[float, float, float] | None:
-    """A3 for one series in its order: seeded resampled means; 0/1 series take the closed form unless told otherwise."""
-    if not values:
+def _parts(series: np.ndarray) -> np.ndarray:
+    """Each number as a sum of a real part, so short that any n of them add without rounding, and an imaginary rest."""
+    if not np.isfinite(series).all():
+        return series + 0j
+    unit = int(np.frexp(np.abs(series).max())[1]) - 52 + len(series).bit_length()
+    high = np.ldexp(np.rint(np.ldexp(series, -unit)), unit)
+    return high + 1j * (series - high)
+
+
+def _resampled(series: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Means of the series drawn with replacement at the places that `random.Random(seed).randrange(n)` gives in turn:
+    the same generator, read DRAWS numbers at a time."""
+    n, bits = len(series), len(series).bit_length()
+    version, state, _ = random.Random(seed).getstate()
+    generator = np.random.MT19937()
+    generator.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    parts, sums, done = _parts(series), np.zeros(resamples, complex), 0
+    while done < n * resamples:
+        drawn = generator.random_raw(DRAWS) >> np.uint64(32 - bits)
+        drawn = drawn[drawn < n][: n * resamples - done].astype(np.int64)
+        first = done // n
+        cuts = np.arange(first * n, done + len(drawn), n) - done
+        cuts[0] = 0
+        if len(drawn):
+            sums[first : first + len(cuts)] += np.add.reduceat(parts[drawn], cuts)
+        done += len(drawn)
+    return (sums.real + sums.imag) / n
+
+
+def bootstrap(values: Sequence[float], level: float = 0.95, resamples: int = RESAMPLES, seed: int = SEED, proportion: bool | None = None) -> tuple[float, float, float] | None:
+    """A3 for one series in its order: seeded resampled means; 0/1 series take the closed form unless told otherwise.
+    Memory is a few times the series, whatever the number of resamples."""
+    series = np.asarray(values, float)
+    n = len(series)
+    if not n:
         return None
-    series = np.array(values, float)
-    n, point = len(series), sum(values) / len(values)
+    total = _parts(series).sum()
+    point = float(total.real + total.imag) / n
     if n == 1:
         return point, point, point
     if proportion or proportion is None and np.isin(series, (0.0, 1.0)).all():
         z2 = Z.get(level, 1.96) ** 2
         middle, spread = (point + z2 / (2 * n)) / (1 + z2 / n), (z2 * (point * (1 - point) + z2 / (4 * n)) / n) ** 0.5 / (1 + z2 / n)
         return point, max(0.0, middle - spread), min(1.0, middle + spread)
-    draw = random.Random(seed)
-    picks = np.fromiter((draw.randrange(n) for _ in range(n * resamples)), np.int64, n * resamples).reshape(resamples, n)
-    means = sorted(sum(drawn) / n for drawn in series[picks].tolist())
+    means = np.sort(_resampled(series, resamples, seed))
     tail = (1 - level) / 2
     low, high = (means[min(int(q * resamples), resamples - 1)] for q in (tail, 1 - tail))
     return point, float(low), float(high)
 
 
 def intervals(rows: DataFrame, by: list[str], order: str = "qid", value: str = "value", level: float = 0.95, proportion: bool | None = None) -> DataFrame:
-    """A3, A4 per group of a long table: one question set each, so a group fits in one task."""
+    """A3, A4 per group of a long table. Groups come sorted, a batch at a time, so a task holds the numbers of one only."""
     keys = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("_o")["_v"].dropna().tolist()
-        point, low, high = bootstrap(own, level, proportion=proportion) or (None, None, None)
-        return pd.DataFrame([[*key, len(own), point, low, high]], columns=[*by, "n", "point", "low", "high"])
-
-    return rows.select(*by, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v")).groupBy(*by).applyInPandas(run, f"{keys}, n long, point double, low double, high double")
+    schema = f"{keys}, n long, point double, low double, high double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, kinds = None, [], None
+
+        def closed() -> pa.RecordBatch:
+            series = np.concatenate(held)
+            point, low, high = bootstrap(series, level, proportion=proportion) or (None, None, None)
+            columns = [*own.columns, pa.array([len(series)]), *(pa.array([x], pa.float64()) for x in (point, low, high))]
+            return pa.record_batch(columns, names=[*by, "n", "point", "low", "high"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy() for c in by]
+            starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1), batch.num_rows]
+            values = batch.column("_v").to_numpy(zero_copy_only=False)
+            for low, high in zip(starts[:-1], starts[1:], strict=True):
+                key = batch.select(by).slice(low, 1)
+                if own is None or not own.equals(key):
+                    if own is not None:
+                        yield closed()
+                    own, held = key, []
+                held.append(values[low:high][~np.isnan(values[low:high])])
+        if own is not None:
+            yield closed()
+
+    own = rows.select(*by, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    return own.repartition(*by).sortWithinPartitions(*by, F.asc_nulls_last("_o"), "_v").select(*by, "_v").mapInArrow(run, schema)
 
 
 def paired_differences(a: DataFrame, b: DataFrame, by: list[str], **options) -> DataFrame:

@@ -160,3 +160,34 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("at string, client string, config string, question string, text string").json(str(tmp_path / "in"))
     audit.audit_log(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).columns == ["at", "client", "config", "question"]
+
+
+def test_bootstrap_holds_a_few_series():
+    """2000 draws of 5000 numbers would be 80 MB of places alone; the means are those of the standard library's draws."""
+    import tracemalloc
+
+    values = [k % 100 / 100 for k in range(5000)]
+    tracemalloc.start()
+    got = evaluation.bootstrap(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    draw = random.Random(evaluation.SEED)
+    means = sorted(sum(values[draw.randrange(5000)] for _ in range(5000)) / 5000 for _ in range(2000))
+    assert got == (sum(values) / 5000, means[50], means[1950])
+
+
+def test_intervals_of_groups_over_several_batches(spark):
+    table = [("a" if k % 3 else None, k % 2, f"q{k:04d}", None if k % 7 == 0 else k / 90) for k in range(90)] + [("z", 0, "q", None), ("y", 1, "q", 2.5)]
+    rows = spark.createDataFrame(table, "g string, h int, qid string, value double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        plan = evaluation.intervals(rows, ["g", "h"])
+        got = {(r["g"], r["h"]): (r["n"], r["point"], r["low"], r["high"]) for r in plan.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsIn" not in plan._jdf.queryExecution().toString()
+    for key in {t[:2] for t in table}:
+        own = [v for *k, _, v in table if tuple(k) == key and v is not None]
+        assert got.pop(key) == (len(own), *(evaluation.bootstrap(own) or (None, None, None)))
+    assert not got
