@@ -7,11 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import scoring, text
+from sheaf.sources.grouped import changes
 
 #: Fixed values.
 KS = (1, 3, 5, 10)
@@ -195,8 +195,7 @@ def intervals(rows: DataFrame, by: list[str], order: str = "qid", value: str = "
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = [pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy() for c in by]
-            starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1), batch.num_rows]
+            starts = [*changes(batch, by), batch.num_rows]
             values = batch.column("_v").to_numpy(zero_copy_only=False)
             for low, high in zip(starts[:-1], starts[1:], strict=True):
                 key = batch.select(by).slice(low, 1)

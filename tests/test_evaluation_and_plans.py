@@ -191,3 +191,58 @@ def test_intervals_of_groups_over_several_batches(spark):
         own = [v for *k, _, v in table if tuple(k) == key and v is not None]
         assert got.pop(key) == (len(own), *(evaluation.bootstrap(own) or (None, None, None)))
     assert not got
+
+
+def test_rows_of_many_pages_at_once(spark):
+    """Rows of pages that come in one batch are those of each page alone; no page becomes a frame of its own."""
+    draw = random.Random(5)
+    table = []
+    for page in range(30):
+        for _ in range(draw.randrange(1, 40)):
+            x = draw.randrange(40) * 2.0
+            table.append((f"d{page % 3}.pdf", page // 3, 800.0, draw.choice(["a", "bb", "cc", "ß語"]), draw.randrange(60) * draw.choice([0.5, 1.0]), x + draw.random() / 8, x + draw.choice([1.0, 7.0, 30.0]), draw.choice([9.0, 12.0]), draw.random() < 0.5))
+    names = ["path", "page", "page_height", "text", "y0", "x0", "x1", "size", "bold"]
+    want = []
+    for key in sorted({t[:2] for t in table}):
+        groups = []
+        for f in sorted((dict(zip(names, t, strict=True)) for t in table if t[:2] == key), key=lambda f: (f["y0"], f["x0"])):
+            if groups and f["y0"] - groups[-1][0]["y0"] <= 4.0:
+                groups[-1].append(f)
+            else:
+                groups.append([f])
+        want += [(*key, 800.0, k, *layout.assembled(g, 2.0).values()) for k, g in enumerate(groups)]
+    plan = layout.rows_of(spark.createDataFrame(table, "path string, page int, page_height double, text string, y0 double, x0 double, x1 double, size double, bold boolean").repartition(3))
+    assert sorted(tuple(r) for r in plan.collect()) == want
+    assert "FlatMapGroupsIn" not in plan._jdf.queryExecution().toString()
+    fragments = spark.createDataFrame(table, "path string, page int, page_height double, text string, y0 double, x0 double, x1 double, size double, bold boolean")
+    pages = fragments.groupBy("path", "page", "page_height").agg(F.collect_list(F.struct("text", "y0", "x0", "x1", "size", "bold")).alias("fragments"))
+    nested = layout.rows_of_pages(pages.unionByName(pages.limit(1).withColumns({"page": F.lit(99), "fragments": F.array().cast(pages.schema["fragments"].dataType)})))
+    assert sorted(tuple(r) for r in nested.collect()) == want
+
+
+def test_sections_of_many_documents_at_once(spark):
+    table = [(f"x/d{d}.pdf", p, 800.0, r, f"Title {d}" if r == 0 else "Label" if r == 2 and d else f"body {d} {p} {r}.", 100.0 + r, 16.0 if r == 0 else 12.0, r in (0, 2)) for d in range(4) for p in (1, 2, 3) for r in range(4)]
+    rows = spark.createDataFrame(table, "path string, page int, page_height double, row int, text string, y0 double, size double, bold boolean")
+    plan = layout.sections(layout.headings(rows.repartition(3)))
+    got = {}
+    for r in plan.collect():
+        got.setdefault(r["path"], []).append((r["doc_id"], r["section_path"], r["heading_level"], r["text"]))
+    assert sorted(got) == [f"x/d{d}.pdf" for d in range(4)] and [len(got[p]) for p in sorted(got)] == [3, 6, 6, 6]
+    # labels of three pages go one level below the deepest
+    assert sorted(got["x/d1.pdf"])[:2] == [("d1#s0000", "Title 1", 3, "Title 1\nbody 1 1 1."), ("d1#s0001", "Label", 3, "Label\nbody 1 1 3.")]
+    assert sorted(got["x/d0.pdf"])[0][::3] == ("d0#s0000", "Title 0\nbody 0 1 1.\nbody 0 1 2.\nbody 0 1 3.")
+    text = plan._jdf.queryExecution().toString()
+    assert "FlatMapGroupsIn" not in text and "Join" not in text
+
+
+def test_whole_groups():
+    import pyarrow as pa
+
+    from sheaf.sources.grouped import whole_groups
+
+    keys = [None, None, 1, 2, 2, 2, 2, 2, 2, 2, 3]
+    for size in (1, 2, 5, 11):
+        batches = pa.table({"k": pa.array(keys)}).to_batches(size)
+        parts = [(b.column("k").to_pylist(), s.tolist()) for b, s in whole_groups(iter(batches), ["k"], 3)]
+        assert sum((k for k, _ in parts), []) == keys
+        assert [k[i] for k, s in parts for i in s] == [None, 1, 2, 3]
