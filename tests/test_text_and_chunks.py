@@ -117,3 +117,27 @@ def test_recursive_chunks(spark):
     assert chunking.recursive_pieces("", 40, 8) == [] and chunking.recursive_pieces("短い", 40, 8) == [("短い", 0)]
     docs = spark.createDataFrame([("d", body)], "doc_id string, text string")
     assert [(r["text"], r["char_start"]) for r in chunking.recursive_chunks(docs, 40, 8).orderBy("chunk_ord").collect()] == pieces
+
+
+def test_normal_forms_read_each_text_once(spark):
+    """All that \\s stands for in Unicode goes, the control characters that only Python counts stay; one Python pass, no
+    pattern over whole texts in the JVM."""
+    import unicodedata
+
+    odd = [None, "", " \x1cａ ﬁ\x1f b\x85　", "Straße, ΑΣ ſo! （x）", "a​b\x0b\xa0c ", "x\x1d y", "\t(A)_b--c\\d|e'\"`\n"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string")
+    plan = rows.select("k", text.normalize_for_match(F.col("t")).alias("m"), text.normalize_answer(F.col("t")).alias("a"), text.strip(F.col("t")).alias("s"))
+    nfkc = rows.select("k", F.regexp_replace(text.nfkc(F.col("t")), r"(?U)\s+", "").alias("m"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("s"))
+    old = nfkc.withColumn("a", F.replace(F.translate(F.lower(F.regexp_replace("m", text.ANSWER_PUNCTUATION, "")), "ςſ", "σs"), F.lit("ß"), F.lit("ss")))
+    got = plan.orderBy("k").collect()
+    assert got == [tuple(r) for r in old.select("k", "m", "a", "s").orderBy("k").collect()]
+    assert got[2]["m"] == "\x1cafi\x1fb" and unicodedata.normalize("NFKC", "ﬁ") == "fi"
+    assert "regexp" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quotes_stop_at_the_first_long_sentence(spark):
+    cases = {"Head\n short. \n\n 　A sentence that is long enough to be cut after forty characters。next": "A sentence that is long enough to be cut", "Head\n  \n": None, "only a first line 12": "only a first line 12", "h\nabc！de\n12345678901。": "12345678901。", "h\nab。cd。ef。gh。ij": "ab。cd。ef。gh。ij", "": None}
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)] + [(99, None)], "k int, t string")
+    plan = rows.select("k", text.pick_quote(F.col("t")).alias("q")).orderBy("k")
+    assert [r["q"] for r in plan.collect()] == [*cases.values(), None]
+    assert "regexp" not in plan._jdf.queryExecution().executedPlan().toString()
