@@ -5,11 +5,18 @@ Contexts are rows (qid, pos, chunk_id, score, text, section_path, page); `pos` f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import ngram_set, token_estimate
+from sheaf.functions.text import flat, token_estimate
+from sheaf.sources.grouped import whole_groups
 
+#: Bytes of the matrix of texts and their grams that a task holds at once; a number above all characters.
+SHARED_BYTES, NO_CHARACTER = 16 << 20, 0x1FFFFF
 #: Fixed values.
 SECTION_TEMPLATE = ("【", "】\n")
 SYSTEM_MARK, USER_MARK, QUESTION_MARK = "<<<SYSTEM>>>", "<<<USER>>>", "# 質問"
@@ -45,18 +52,78 @@ def reorder_lost_in_middle(contexts: DataFrame) -> DataFrame:
     return _renumbered(keyed, F.col("_key")).drop("_r", "_key")
 
 
+def _gram_codes(text: str, n: int, numbers: dict[str, int]) -> np.ndarray:
+    """The distinct n-grams of a string as numbers: up to three characters packed, longer ones by a common dictionary."""
+    if not text:
+        return np.zeros(0, np.int64)
+    if n > 3:
+        return np.array(sorted({numbers.setdefault(text[i : i + n], len(numbers)) for i in range(max(len(text) - n, 0) + 1)}), np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(points) < n:
+        points = np.append(points, np.full(n - len(points), NO_CHARACTER))
+    code = points[: len(points) - n + 1]
+    for k in range(1, n):
+        code = code << 21 | points[k : len(points) - n + 1 + k]
+    return np.unique(code)
+
+
+def _shared(rows: np.ndarray, number: np.ndarray, m: int, low: int, high: int) -> np.ndarray:
+    """How many grams each of the texts low to high shares with each of all m, a bounded block of grams at a time. Each
+    entry is a text and a gram, sorted by gram."""
+    out = np.zeros((high - low, m), np.float32)
+    step = max(1, SHARED_BYTES // (4 * m))
+    n_grams, at = int(number[-1]) + 1 if len(number) else 0, 0
+    for first in range(0, n_grams, step):
+        end = np.searchsorted(number, first + step)
+        held = np.zeros((m, min(step, n_grams - first)), np.float32)
+        held[rows[at:end], number[at:end] - first] = 1
+        out += held[low:high] @ held.T
+        at = end
+    return out
+
+
+def _kept(texts: list[str], threshold: float, n: int) -> list[int]:
+    """The fold of O3 over the texts of a question in their order."""
+    numbers: dict[str, int] = {}
+    codes = [_gram_codes(t, n, numbers) for t in texts]
+    sizes, m = np.array([len(c) for c in codes]), len(texts)
+    grams = np.concatenate(codes)
+    order = np.argsort(grams, kind="stable")
+    number = np.cumsum(np.concatenate([[0], np.diff(grams[order]) != 0])) if len(grams) else grams
+    rows = np.repeat(np.arange(m), sizes)[order]
+    common = np.concatenate([[False], number[1:] == number[:-1]]) if len(grams) else np.zeros(0, bool)
+    common[:-1] |= common[1:].copy()  # a gram of one text is shared with none
+    rows, number = rows[common], number[common]
+    number = np.cumsum(np.concatenate([[0], np.diff(number) != 0])) if len(number) else number
+    kept: list[int] = []
+    for low in range(0, m, 256):
+        high = min(m, low + 256)
+        both = _shared(rows, number, m, low, high).astype(float)
+        near = (both >= (sizes[low:high, None] + sizes - both) * threshold) & (sizes[low:high, None] > 0) & (sizes > 0)
+        for k in range(low, high):
+            if not near[k - low, kept].any():
+                kept.append(k)
+    return kept
+
+
 def dedupe(contexts: DataFrame, threshold: float = 0.9, n: int = 3, unicode: bool = True) -> DataFrame:
     """O3: in score order, without those whose n-grams overlap with an already kept one by the threshold. A fold, since
-    each decision depends on the ones before; a question's few contexts are its state."""
-    sets = contexts.withColumn("_g", ngram_set(F.col("text"), n, unicode))
-    row = F.struct((-F.col("score")).alias("o"), "pos", "chunk_id", F.col("_g").alias("g"))
-    grouped = sets.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    similar = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_intersect(x, y)) >= F.size(F.array_union(x, y)) * F.lit(threshold))
-    kind = "array<struct<o: double, pos: int, chunk_id: string, g: array<string>>>"
-    kept = F.aggregate("rows", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda k: similar(x["g"], k["g"])), acc).otherwise(F.concat(acc, F.array(x)).cast(kind)))
-    order = grouped.select(F.col("qid").alias("_q"), F.posexplode(F.transform(kept, lambda k: k["pos"])).alias("_i", "_old"))
-    joined = contexts.join(order, (F.col("pos") == F.col("_old")) & F.col("qid").eqNullSafe(F.col("_q")))
-    return joined.withColumn("pos", F.col("_i") + 1).select(*contexts.columns)
+    each decision depends on the ones before; a question's few contexts are its state, shared grams are counted at once."""
+    fields = ", ".join(f"`{f.name}` {'int' if f.name == 'pos' else f.dataType.simpleString()}" for f in contexts.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every, starts in whole_groups(batches, ["qid"], 1024):
+            texts = [flat(t or "", unicode) for t in every.column("text").to_pylist()]
+            found, places = [], []
+            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), every.num_rows], strict=True):
+                own = _kept(texts[low:high], threshold, n)
+                found += [low + k for k in own]
+                places += range(1, len(own) + 1)
+            out = every.take(pa.array(found, pa.int64()))
+            yield pa.record_batch([pa.array(places, pa.int32()) if c == "pos" else out.column(c) for c in out.schema.names], names=out.schema.names)
+
+    ordered = contexts.repartition("qid").sortWithinPartitions("qid", (-F.col("score")).asc_nulls_first(), "pos", "chunk_id")
+    return ordered.mapInArrow(run, fields)
 
 
 def add_section_path(contexts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import threading
+import unicodedata
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -212,3 +213,26 @@ def test_lsh_pairs_are_not_joined(spark):
         rows = lambda df: sorted((x["qid"], x["rank"], x["chunk_id"], round(x["score"], 9)) for x in df.collect())
         assert rows(out) == rows(want)
         assert "SortMergeJoin" not in out._jdf.queryExecution().toString() and "Generate" not in out._jdf.queryExecution().toString()
+
+
+def test_dedupe_counts_shared_grams_at_once(spark):
+    """The fold over 700 contexts of two questions, against sets; no array of grams leaves the texts."""
+    import random
+
+    draw = random.Random(3)
+    base = ["".join(draw.choice("abcde 日本ß") for _ in range(60)) for _ in range(12)]
+    texts = [(lambda t, k: t[:k] + draw.choice("xyz") + t[k + 1 :])(draw.choice(base), draw.randrange(60)) if k % 9 else draw.choice(["", " ", "ab", "a b", "ｂ", None]) for k in range(700)]
+    rows = spark.createDataFrame([(f"q{k % 2}", k, f"c{k}", (k * 37 % 50) / 50, t, None, None) for k, t in enumerate(texts)], "qid string, pos int, chunk_id string, score double, text string, section_path string, page int")
+    for n, threshold in ((3, 0.8), (2, 0.9), (5, 0.6)):
+        want = []
+        for q in (0, 1):
+            kept = []
+            for k in sorted(range(q, 700, 2), key=lambda k: (-(k * 37 % 50), k)):
+                t = "".join(unicodedata.normalize("NFKC", texts[k] or "").split())
+                g = {t[i : i + n] for i in range(max(len(t) - n, 0) + 1)} if t else set()
+                if not any(g and o and len(g & o) >= len(g | o) * threshold for _, o in kept):
+                    kept.append((k, g))
+            want += [(f"q{q}", i, f"c{k}") for i, (k, _) in enumerate(kept, 1)]
+        plan = contexts.dedupe(rows.repartition(3), threshold, n)
+        assert sorted((r["qid"], r["pos"], r["chunk_id"]) for r in plan.collect()) == sorted(want)
+        assert "array_intersect" not in plan._jdf.queryExecution().toString()
