@@ -113,10 +113,9 @@ def dedupe(contexts: DataFrame, threshold: float = 0.9, n: int = 3, unicode: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for every, starts in whole_groups(batches, ["qid"], 1024):
-            texts = [flat(t or "", unicode) for t in every.column("text").to_pylist()]
-            found, places = [], []
+            text, found, places = every.column("text"), [], []
             for low, high in zip(starts.tolist(), [*starts[1:].tolist(), every.num_rows], strict=True):
-                own = _kept(texts[low:high], threshold, n)
+                own = _kept([flat(t or "", unicode) for t in text[low:high].to_pylist()], threshold, n)
                 found += [low + k for k in own]
                 places += range(1, len(own) + 1)
             out = every.take(pa.array(found, pa.int64()))

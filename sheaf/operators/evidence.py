@@ -17,6 +17,8 @@ from sheaf.sources.scratch import stored
 
 #: Characters of quotes that a task holds at once.
 MAX_CHARS = 32 << 20
+#: Texts of a batch that are strings in Python at once.
+TEXTS = 256
 
 
 def exploded(gold: DataFrame) -> DataFrame:
@@ -53,9 +55,12 @@ def substring_pairs(texts: DataFrame, needles: DataFrame, max_chars: int = MAX_C
         def run(batches: Iterator[pa.RecordBatch], own: list[str] = own) -> Iterator[pa.RecordBatch]:
             find = _finder(own) if own else lambda text: ()
             for batch in batches:
-                hits = [(k, n) for k, text in enumerate(batch.column(at).to_pylist()) if text for n in find(text)]
-                rows = batch.take(pa.array([k for k, _ in hits], pa.int64())).drop_columns(["norm"])
-                yield rows.append_column("needle", pa.array([n for _, n in hits], pa.string()))
+                for low in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(low, TEXTS)
+                    hits = [(k, n) for k, text in enumerate(part.column(at).to_pylist()) if text for n in find(text)]
+                    if hits:
+                        rows = part.drop_columns(["norm"]).take(pa.array([k for k, _ in hits], pa.int64()))
+                        yield rows.append_column("needle", pa.array([n for _, n in hits], pa.string()))
 
         part = texts.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)

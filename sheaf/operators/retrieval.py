@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sheaf.functions.text import let, nfkc, strip, token_ngrams
+from sheaf.functions.text import TOKEN_NOISE, WHITE_SPACE, let, nfkc, strip, token_ngrams
+from sheaf.sources.grouped import whole_groups
 from sheaf.sources.scratch import stored
 
 from .vectors import ranked, vector_topk
@@ -20,6 +23,10 @@ K1, B, EPSILON, RRF_K, CHILD_K = 1.5, 0.75, 0.25, 60, 20
 EMPTY = "__empty__"
 #: Bytes of query weights that a task holds at once.
 MATRIX_BYTES = 64 << 20
+#: Rows of a batch, and characters, whose terms a task counts at once; a number above all characters.
+COUNT_ROWS, COUNT_CHARS, NO_CHARACTER = 512, 1 << 19, 0x1FFFFF
+#: 2 for white space, 1 for a character of noise, 0 for others; those beyond the table are others.
+KINDS = np.array([2 if chr(c) in WHITE_SPACE else 1 if re.match(TOKEN_NOISE, chr(c)) else 0 for c in range(0x10000)] + [0], np.int8)
 
 
 def identity(text: Column) -> Column:
@@ -82,20 +89,65 @@ def bm25_scores(queries: DataFrame, tf: DataFrame, idf: DataFrame, n: int = 2, k
     return met.groupBy("qid", "q_ord", "chunk_id", "corpus_ord").agg(F.sum(weight).alias("score"))
 
 
+def _bigrams(texts: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """T1 with n = 2 for lower-case texts: the distinct terms, packed, how often and in how many groups they occur."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    group = np.repeat(groups, [len(t) + 1 for t in texts])
+    kind = KINDS[np.minimum(points, len(KINDS) - 1)]
+    first = np.concatenate([[True], kind[:-1] == 2])[kind != 2]
+    points, group, kind = points[kind != 2], group[kind != 2], kind[kind != 2]
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(points)))
+    real = np.repeat(np.minimum.reduceat(kind, starts) == 0, sizes) if len(starts) else np.zeros(0, bool)  # more than noise
+    pair = np.flatnonzero(real[:-1] & ~first[1:]) if len(points) else starts
+    lone = starts[(sizes == 1) & real[starts]]
+    at, second = np.concatenate([pair, lone]), np.concatenate([points[pair + 1], np.full(len(lone), NO_CHARACTER)])
+    keys = np.sort(group[at] << 42 | points[at] << 21 | second)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    terms, number = np.unique(keys[new] & ((1 << 42) - 1), return_inverse=True)
+    times = np.diff(np.append(new, len(keys)))
+    return terms, np.bincount(number, times, len(terms)).astype(np.int64), np.bincount(number, minlength=len(terms))
+
+
+def bigram_counts(docs: DataFrame, id_column: str, unicode: bool = True) -> DataFrame:
+    """(term, n, df_): how often each bigram (T1) occurs and in how many documents. Terms are counted where they are cut;
+    a row leaves a task for each distinct one among some texts, never one for each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every, starts in whole_groups(batches, [id_column], 256):
+            sizes = pc.utf8_length(every.column("_t")).to_numpy(zero_copy_only=False)
+            bounds, held = [0], 0
+            for low, size in zip(starts.tolist(), np.add.reduceat(sizes, starts).tolist(), strict=True):
+                if held and held + size > COUNT_CHARS:
+                    bounds, held = [*bounds, low], 0
+                held += size
+            for low, high in zip(bounds, [*bounds[1:], every.num_rows], strict=True):
+                number = np.searchsorted(starts, np.arange(low, high), side="right")
+                terms, n, df = _bigrams(every.column("_t")[low:high].to_pylist(), number - number[0])
+                names = [chr(t >> 21) + ("" if t & NO_CHARACTER == NO_CHARACTER else chr(t & NO_CHARACTER)) for t in terms.tolist()]
+                yield pa.record_batch([pa.array(names, pa.string()), pa.array(n), pa.array(df)], names=["term", "n", "df_"])
+
+    text = F.coalesce("text", F.lit(""))
+    lowered = docs.select(id_column, F.lower(nfkc(text) if unicode else text).alias("_t")).repartition(id_column).sortWithinPartitions(id_column)
+    return lowered.mapInArrow(run, "term string, n long, df_ long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df_").alias("df_"))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct terms of each row with their counts, in order of the terms."""
-    for batch in batches:
-        terms = batch.column("terms")
-        flat, bounds = terms.values.to_numpy(zero_copy_only=False), terms.offsets.to_numpy()
-        flat, bounds = flat[bounds[0] : bounds[-1]], bounds - bounds[0]
-        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        order = np.lexsort((flat, row))
-        flat, row = flat[order], row[order]
-        first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])) if len(flat) else np.zeros(0, int)
-        counts = np.diff(np.append(first, len(flat))).astype(np.int32)
-        ends = pa.array(np.searchsorted(row[first], np.arange(batch.num_rows + 1)).astype(np.int32))
-        columns = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat[first], counts)]
-        yield pa.record_batch([batch.column("chunk_id"), batch.column("corpus_ord"), pa.array(np.diff(bounds).astype(np.int32)), *columns], names=["chunk_id", "corpus_ord", "dl", "terms", "tfs"])
+    """Distinct terms of each row with their counts, in order of the terms; a few rows of a batch at a time."""
+    for every in batches:
+        for low in range(0, every.num_rows, COUNT_ROWS):
+            batch = every.slice(low, COUNT_ROWS)
+            terms = batch.column("terms")
+            flat, bounds = terms.values.to_numpy(zero_copy_only=False), terms.offsets.to_numpy()
+            flat, bounds = flat[bounds[0] : bounds[-1]], bounds - bounds[0]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            order = np.lexsort((flat, row))
+            flat, row = flat[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])) if len(flat) else np.zeros(0, int)
+            counts = np.diff(np.append(first, len(flat))).astype(np.int32)
+            ends = pa.array(np.searchsorted(row[first], np.arange(batch.num_rows + 1)).astype(np.int32))
+            columns = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat[first], counts)]
+            yield pa.record_batch([batch.column("chunk_id"), batch.column("corpus_ord"), pa.array(np.diff(bounds).astype(np.int32)), *columns], names=["chunk_id", "corpus_ord", "dl", "terms", "tfs"])
 
 
 def indexed(chunks: DataFrame, n: int = 2, unicode: bool = True) -> DataFrame:
@@ -136,32 +188,33 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5, n: int = 2, k1: floa
         matrix[number, place] = block["w"].to_numpy()
         names = columns["qid"].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
-        part = index.mapInPandas(_scored(terms, matrix, starts, names[starts], average, k, k1, b), f"qid {qid}, chunk_id {kinds['chunk_id']}, corpus_ord {kinds['corpus_ord']}, score double")
+        part = index.mapInArrow(_scored(terms, matrix, starts, names[starts], to_arrow_type(queries.schema["qid"].dataType), average, k, k1, b), f"qid {qid}, chunk_id {kinds['chunk_id']}, corpus_ord {kinds['corpus_ord']}, score double")
         found = part if found is None else found.unionByName(part)
     return stored(ranked(found, k), "hits").withColumn("provenance", F.create_map(F.lit("bm25"), "score"))
 
 
-def _scored(terms: np.ndarray, matrix: np.ndarray, starts: np.ndarray, own: np.ndarray, average: float, k: int, k1: float, b: float):
+def _scored(terms: np.ndarray, matrix: np.ndarray, starts: np.ndarray, own: np.ndarray, kind: pa.DataType, average: float, k: int, k1: float, b: float):
     """The k best chunks of a batch for each question of a block; of several queries of a question the best counts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for every in batches:
-            for low in range(0, len(every) if len(own) else 0, 512):
-                batch = every.iloc[low : low + 512]
-                sizes = np.array([len(x) for x in batch["terms"]])
-                flat, counts = np.concatenate(list(batch["terms"])), np.concatenate(list(batch["tfs"])).astype(float)
+            for low in range(0, every.num_rows if len(own) else 0, COUNT_ROWS):
+                batch = every.slice(low, COUNT_ROWS)
+                sizes = np.diff(batch.column("terms").offsets.to_numpy())
+                flat, counts = batch.column("terms").flatten().to_numpy(), batch.column("tfs").flatten().to_numpy().astype(float)
                 at = np.minimum(np.searchsorted(terms, flat), max(len(terms) - 1, 0))
-                row = np.repeat(np.arange(len(batch)), sizes)
+                row = np.repeat(np.arange(batch.num_rows), sizes)
                 known = np.flatnonzero(terms[at] == flat)
-                norm = k1 * (1 - b + b * batch["dl"].to_numpy(float) / average)
+                norm = k1 * (1 - b + b * batch.column("dl").to_numpy().astype(float) / average)
                 part = counts[known] / (counts[known] + norm[row[known]])
-                weight = np.zeros((len(batch), len(matrix)))
+                weight = np.zeros((batch.num_rows, len(matrix)))
                 weight[row[known], at[known]] = part
                 best = np.maximum.reduceat(weight @ matrix, starts, axis=1).T
-                order = batch["corpus_ord"].to_numpy()
+                order = batch.column("corpus_ord").to_numpy(zero_copy_only=False)
                 top = np.stack([np.lexsort((order, -x))[:k] for x in best])
                 q, chunk = np.repeat(np.arange(len(own)), top.shape[1]), top.ravel()
-                yield pd.DataFrame({"qid": own[q], "chunk_id": batch["chunk_id"].to_numpy()[chunk], "corpus_ord": order[chunk], "score": best[q, chunk]})
+                place = pa.array(chunk)
+                yield pa.record_batch([pa.array(own[q], kind), batch.column("chunk_id").take(place), batch.column("corpus_ord").take(place), pa.array(best[q, chunk])], names=["qid", "chunk_id", "corpus_ord", "score"])
 
     return run
 

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import threading
 import unicodedata
 from collections import Counter
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf.functions import text
 from sheaf.operators import answers, contexts, retrieval, vectors
 
 TEXTS = ["the cat sat", "the dog sat on the mat", "", "a bird", "the the the cat", "zzz"]
@@ -236,3 +238,44 @@ def test_dedupe_counts_shared_grams_at_once(spark):
         plan = contexts.dedupe(rows.repartition(3), threshold, n)
         assert sorted((r["qid"], r["pos"], r["chunk_id"]) for r in plan.collect()) == sorted(want)
         assert "array_intersect" not in plan._jdf.queryExecution().toString()
+
+
+def test_bigrams_are_counted_where_they_are_cut(spark):
+    texts = [(1, "The the cat… -- a　x"), (1, "THE end"), (2, "ＡＢＣ 日本語 😀 😀😀 ，。 b"), (3, None), (4, ""), (5, "--- ．\n"), (6, "a,b " * 300), (None, "the")]
+    rows = spark.createDataFrame(texts * 2, "doc_id long, text string").repartition(3)
+    n, df = Counter(), {}
+    for k, t in texts * 2:
+        for s in unicodedata.normalize("NFKC", t or "").lower().split():
+            if not re.match(text.TOKEN_NOISE, s):
+                for g in [s] if len(s) < 2 else [s[i : i + 2] for i in range(len(s) - 1)]:
+                    n[g] += 1
+                    df.setdefault(g, set()).add(k)
+    plan = retrieval.bigram_counts(rows, "doc_id")
+    assert sorted(tuple(r) for r in plan.collect()) == sorted((g, n[g], len(df[g])) for g in n)
+    assert "explode" not in plan._jdf.queryExecution().toString()
+
+
+def test_scoring_holds_few_rows_of_a_batch():
+    """A batch of 6000 chunks against 300 terms: rows go through in parts, also where the batch is a slice itself."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    hashed = [r.integers(0, 300, 40).tolist() for _ in range(6000)]
+    batch = pa.record_batch([pa.array([f"c{k}" for k in range(6000)]), pa.array(range(6000)), pa.array(hashed)], names=["chunk_id", "corpus_ord", "terms"]).slice(3)
+    counted = pa.Table.from_batches(retrieval._counted(iter([batch]))).combine_chunks().to_batches()[0]
+    assert dict(zip(counted.column("terms")[7].as_py(), counted.column("tfs")[7].as_py(), strict=True)) == Counter(hashed[10])
+    matrix = np.vstack([r.random((300, 4)), np.zeros(4)])
+    tracemalloc.start()
+    got = pa.Table.from_batches(retrieval._scored(np.arange(300), matrix, np.array([0, 1, 3]), np.array(["a", "b", "c"]), pa.string(), 40.0, 5, 1.5, 0.75)(iter([counted]))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6  # a weight for each chunk and term would be 14 MB
+    weights = np.zeros((5997, 301))
+    for k, own in enumerate(hashed[3:]):
+        for t, c in Counter(own).items():
+            weights[k, t] = c / (c + 1.5)
+    best = (weights @ matrix)[:, 1:3].max(axis=1)
+    own = got[got["qid"] == "b"].sort_values(["score", "corpus_ord"], ascending=[False, True])[:5]
+    assert own["corpus_ord"].tolist() == (np.lexsort((np.arange(5997), -best))[:5] + 3).tolist()
